@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tune(spark: SparkSession) -> None:
+    """Small Arrow batches, unless the session was started with a size of its own:
+    tables of texts with some very long ones make the default's batches large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, schema: T.StructType | str, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow of a function of one batch; ``f`` may yield several batches."""
 
@@ -49,6 +61,7 @@ def map_rows(df: DataFrame, schema: T.StructType | str, f: Callable[[pa.RecordBa
             if batch.num_rows:
                 yield from f(batch)
 
+    tune(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

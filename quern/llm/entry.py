@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import decontam, langid, packing, pii, simhash
+from quern.llm import chat, decontam, gif, langid, packing, pii, quality, rollup, simhash, suffixtree
 from quern.llm.common import table
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(chat.from_turns(table(spark, sf_dir, "conversations"))).withColumn("n_messages", F.col("n_messages").cast("long"))
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.rewrite(table(spark, sf_dir, "documents"), counted="n_replaced")
 
@@ -18,6 +23,18 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.totals_of(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -30,8 +47,35 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media, so every vector is drawn as a GIF and decoded."""
+    got = gif.frames(gif.from_vectors(table(spark, sf_dir, "embeddings")), "vec_id", "gif")
+    return got.select("vec_id", "frame", "start_ms", "delay_ms", "width", "height", F.hex("pixels").alias("pixels"), F.array_join("histogram", ",").alias("histogram"), "n_transparent", "error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_surrogates, op3_simhash_near_duplicates, op7_language_id, op8_benchmark_decontamination, op9_best_fit_packing)}
+    made = (op1_chat_formatting, op2_pii_surrogates, op3_simhash_near_duplicates, op4_token_rollups, op5_quality_classifier)
+    made += (op6_lm_scoring, op7_language_id, op8_benchmark_decontamination, op9_best_fit_packing, op10_media_gif)
+    return {f.__name__: f for f in made}
+
+
+#: Each turn replies to the one before, so a conversation is its only branch.
+OP1_SQL = """
+SELECT conv_id AS tree_id, 1 AS branch_rank, round(avg(length(text)), 6) AS score, count(*) AS n_messages,
+  string_agg('<|' || role || '|>' || chr(10) || replace(text, '<|', '<\\|') || chr(10) || '<|end|>', chr(10) ORDER BY turn) AS conversation
+FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id
+"""
+
+#: What the frames must show, from the values that were drawn.
+OP10_SQL = """
+WITH v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+l AS (SELECT vec_id, i, i // 16 AS frame, (x >= -0.1::DOUBLE)::INT + (x >= 0)::INT + (x >= 0.1::DOUBLE)::INT + (x >= 0.2::DOUBLE)::INT AS k FROM v),
+f AS (SELECT vec_id, frame, string_agg(CASE k WHEN 0 THEN '00000000' WHEN 1 THEN '000000FF' WHEN 2 THEN 'FF0000FF' WHEN 3 THEN '00FF00FF' ELSE '0000FFFF' END, '' ORDER BY i) AS pixels,
+  count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 3) AS n3, count(*) FILTER (k = 4) AS n4 FROM l GROUP BY vec_id, frame)
+SELECT vec_id, CAST(frame AS INT) AS frame, CAST(CASE frame WHEN 0 THEN 0 WHEN 1 THEN 40 WHEN 2 THEN 90 ELSE 150 END AS BIGINT) AS start_ms, CAST(40 + 10 * frame AS INT) AS delay_ms, 16 AS width, 1 AS height, pixels,
+  n1 || ',0,0,' || n4 || repeat(',0', 8) || ',' || n3 || repeat(',0', 35) || ',' || n2 || repeat(',0', 15) AS histogram, CAST(n0 AS INT) AS n_transparent, CAST(NULL AS VARCHAR) AS error
+FROM f
+"""
 
 
 #: Exact containment, by brute force over all shingles.
@@ -48,4 +92,4 @@ WHERE k >= 0.7 * n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_benchmark_decontamination": OP8_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op8_benchmark_decontamination": OP8_SQL, "op10_media_gif": OP10_SQL}

@@ -18,7 +18,7 @@ import pyarrow as pa
 #: Bytes whose words are hashed at a time: bounds the working arrays.
 BLOCK_BYTES = 1 << 20
 #: Bytes of text handled per slice of a batch (one longer text is its own slice).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
