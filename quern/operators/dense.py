@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.errors import EmbeddingMismatch
 from quern.functions import vectors
 from quern.operators.lexical import top
 
+#: Vectors a block: 8 MB at 512 places.
+BLOCK = 2048
+
 
 def check_width(df: DataFrame, column: str, width: int) -> DataFrame:
     """The rows, of which one of another width fails the job."""
@@ -24,19 +32,54 @@ def nearest(index: DataFrame, id_: str, vector: str, query: list[float], k: int)
     return index.where(F.col(vector).isNotNull()).select(id_, F.round(vectors.cosine(F.col(vector), q), 6).alias("score")).orderBy(F.desc("score"), id_).limit(k)
 
 
-def nearest_batch(index: DataFrame, id_: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, skip_self: bool = False, broadcast_queries: int = 100_000) -> DataFrame:
-    """(query, id, score, rank): the k nearest of each query.
+def _blocks(df: DataFrame, id_: str, vector: str, rows: int) -> DataFrame:
+    """(ids, n, m): up to ``rows`` vectors in one row, as float64 bytes."""
+    kind = df.schema[id_].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows):
+                part = batch.slice(a, rows)
+                m = np.array(part.column(1).to_pylist(), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([m.tobytes()], pa.binary())], names=["ids", "m"])
+
+    return df.where(F.col(vector).isNotNull() & F.col(id_).isNotNull()).select(id_, vector).mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("m", T.BinaryType())]))
+
+
+def nearest_batch(index: DataFrame, id_: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, skip_self: bool = False, rows: int = BLOCK) -> DataFrame:
+    """(query, id, score, rank): the k nearest of each query, exactly.
+
+    Both sides are packed into blocks of vectors and every pair of blocks is one
+    matrix product, of which only the k best of each query go on; so nothing is
+    broadcast but by Spark's own choice, and what is shuffled is k rows a query
+    and block, not a row a pair."""
+    qid, iid = queries.schema[query_id].dataType, index.schema[id_].dataType
+    pairs = _blocks(index, id_, vector, rows).crossJoin(_blocks(queries, query_id, query_vector, rows).select(F.col("ids").alias("qids"), F.col("m").alias("q")))
+    schema = T.StructType([T.StructField(query_id, qid), T.StructField(id_, iid), T.StructField("score", T.DoubleType())])
+
+    def unit(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(raw, np.float64).reshape(n, -1)
+        size = np.sqrt((x * x).sum(1))
+        return x, size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, qids = batch.column(0)[r].values, batch.column(2)[r].values
+                (x, nx), (q, nq) = unit(batch.column(1)[r].as_py(), len(ids)), unit(batch.column(3)[r].as_py(), len(qids))
+                if x.shape[1] != q.shape[1]:
+                    raise EmbeddingMismatch(f"vectors of {x.shape[1]} and {q.shape[1]} places")
+                asked = np.flatnonzero(nq > 0)
+                score = (q[asked] @ x.T) / (nq[asked, None] * np.where(nx > 0, nx, 1.0))
+                score = np.round(score, 6)
+                if skip_self:
+                    score[np.array(qids.take(pa.array(asked)).to_pylist(), object)[:, None] == np.array(ids.to_pylist(), object)[None, :]] = -np.inf
+                # ties at the k-th place all go on, so that ids decide them
+                least = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)] if score.size else np.zeros(len(asked))
+                at, who = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(asked[at])), ids.take(pa.array(who)), pa.array(score[at, who])], names=schema.names)
 
-    Norms are taken once a row.  Queries are broadcast if they are few, so each
-    task scans its part of the index once; otherwise the product is a shuffle."""
-    a = index.where(F.col(vector).isNotNull()).select(F.col(id_), F.col(vector).alias("__v"), vectors.norm(F.col(vector)).alias("__nv"))
-    q = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id), F.col(query_vector).alias("__q"), vectors.norm(F.col(query_vector)).alias("__nq")).where("__nq > 0")
-    few = q.limit(broadcast_queries + 1).count() <= broadcast_queries
-    pairs = a.crossJoin(F.broadcast(q) if few else q)
-    if skip_self:
-        pairs = pairs.where(F.col(id_) != F.col(query_id))
-    score = F.when(F.col("__nv") == 0, 0.0).otherwise(vectors.dot(F.col("__v"), F.col("__q")) / (F.col("__nv") * F.col("__nq")))
-    return top(pairs.select(query_id, id_, F.round(score, 6).alias("score")), query_id, id_, k)
+    return top(pairs.select("ids", "m", "qids", "q").mapInArrow(run, schema), query_id, id_, k)
 
 
 def missing(chunks: DataFrame, embedded: DataFrame, id_: str = "id", chunk_id: str = "chunk_id") -> DataFrame:

@@ -2,9 +2,8 @@
 
 idf is ln((N - n + 0.5) / (n + 0.5)), and 1e-6 where that is not positive; a
 query term counts as often as it occurs in the query.  Corpus statistics are
-one-row joins, never collected.  All queries are answered at once; the postings
-of query terms are found by an equality join, of which Spark broadcasts the
-query side if it is small.
+one-row joins, never collected.  All queries are answered at once; the terms
+asked for, broadcast if their number is small, decide what is shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.operators.sizes import hinted
 
 K1, B = 1.2, 0.75
 
@@ -42,18 +42,20 @@ def bm25(docs: DataFrame, id_: str, queries: DataFrame, query_id: str, k: int, s
     ``docs`` and ``queries`` have an array ``terms``.  ``scope``: ids that may be
     found while statistics still come from all of ``docs``."""
     docs = docs.select(id_, "terms", F.size("terms").alias("size"))
-    posted = docs.select(id_, "size", F.explode("terms").alias("term")).groupBy("term", id_, "size").agg(F.count("*").alias("tf"))
-    corpus = docs.agg(F.count("*").alias("N"), F.avg("size").alias("avg_size"))
+    corpus = docs.agg(F.count("*").alias("__docs"), F.avg("size").alias("__avg"))
     asked = query_terms(queries, query_id, "terms").withColumnRenamed("term", "__term")
+    # only postings of terms that are asked for are counted and shuffled
+    wanted = hinted(asked.select(F.col("__term").alias("__u")).distinct())
+    words = docs.select(id_, "size", F.explode("terms").alias("term"))
+    posted = words.join(wanted, F.col("term") == F.col("__u"), "left_semi").groupBy("term", id_, "size").agg(F.count("*").alias("tf"))
     hits = posted.join(asked, F.col("term") == F.col("__term"))
     if scope is not None:
         hits = hits.join(scope.select(F.col(scope.columns[0]).alias("__s")).distinct(), F.col(id_) == F.col("__s"), "left_semi")
-    used = posted.join(asked.select(F.col("__term").alias("__u")).distinct(), F.col("term") == F.col("__u"), "left_semi")
-    n = used.groupBy(F.col("term").alias("__t")).agg(F.count("*").alias("n"))
-    raw = F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    n = posted.groupBy(F.col("term").alias("__t")).agg(F.count("*").alias("__n"))
+    raw = F.log((F.col("__docs") - F.col("__n") + 0.5) / (F.col("__n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(1e-6)
     tf = F.col("tf")
-    part = F.col("weight") * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
+    part = F.col("weight") * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("__avg")))
     scored = hits.join(n, F.col("term") == F.col("__t")).crossJoin(F.broadcast(corpus)).groupBy(query_id, id_).agg(F.round(F.sum(part), 9).alias("score"))
     return top(scored, query_id, id_, k)
 
