@@ -8,8 +8,8 @@ part is negative its gradient is ascended (Kiryo et al., 2017).  The class prior
 pi is estimated by best-bin estimation on held-out halves (Garg et al., 2021).
 Training takes a bounded sample (``POSITIVES`` and ``UNLABELLED`` rows with the
 least hashes of doc_id); scoring covers every document, whole.  A document is
-kept unless its score is below both 1/2 and the score that all but 1 -
-``KEEP_SHARE`` of the held-out positives reach.
+kept if its score is at least the one that ``KEEP_SHARE`` of the held-out
+trusted positives reach: the share of good text lost is set, not the score.
 
 Defined cases: a null or empty text has features 0 but for the bias, and its
 score follows; a null doc_id is scored but never trained on; repeated doc_ids in
@@ -130,7 +130,7 @@ def train_arrays(p: np.ndarray, u: np.ndarray, keep_share: float = KEEP_SHARE) -
     prior = estimate_prior(held_p @ plain, held_u @ plain)
     w = _fit(p[::2], u[::2], prior)
     least = float(np.quantile(_sigmoid(held_p @ w), 1 - keep_share))
-    return Model(w, prior, min(0.5, least))
+    return Model(w, prior, least)
 
 
 def _sample(docs: DataFrame, ids: DataFrame, rows: int) -> np.ndarray:
