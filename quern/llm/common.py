@@ -76,11 +76,20 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, ids: DataFrame, rows: int = 2_000_000) -> DataFrame:
     """``docs`` whose doc_id is not in ``ids``, an id column named anything; rows
     with a null doc_id stay."""
-    bad = ids.select(F.col(ids.columns[0]).alias("__bad_id")).where("__bad_id IS NOT NULL").distinct()
-    return docs.join(hinted(bad, rows), docs["doc_id"] == F.col("__bad_id"), "left_anti")
+    name = fresh(docs, "__bad_id")
+    bad = ids.select(F.col(ids.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct()
+    return docs.join(hinted(bad, rows), docs["doc_id"] == F.col(name), "left_anti")
 
 
 def id_type(docs: DataFrame) -> T.DataType:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import textbytes
-from quern.llm.common import cut, map_rows
+from quern.llm.common import cut, fresh, map_rows
 
 KEY = b"quern-surrogates"
 ATTEMPTS = 40
@@ -330,6 +330,8 @@ def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
 def rewrite(docs: DataFrame, key: bytes = KEY, broadcast_rows: int = BROADCAST_ROWS, counted: str | None = None) -> DataFrame:
     """``docs`` with surrogates in text; ``counted`` names a further column with
     the number of entities replaced."""
+    if counted in docs.columns:  # a column of that name makes way
+        docs = docs.drop(counted)
     later = cut(assign(entities(docs), key).where("attempt > 0").select("kind", "canon", "attempt"))
     few = later.limit(broadcast_rows + 1).collect()
     known = {(k, c): n for k, c, n in few} if len(few) <= broadcast_rows else None
@@ -343,8 +345,10 @@ def rewrite(docs: DataFrame, key: bytes = KEY, broadcast_rows: int = BROADCAST_R
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=pair.names)
 
         hashed = docs.select(F.xxhash64("text").alias("__h"), "text")
-        own = map_rows(hashed, pair, mentions).distinct().join(later, ["kind", "canon"]).groupBy("__h").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__later"))
-        source = docs.withColumn("__h2", F.xxhash64("text")).join(own, F.col("__h2") == F.col("__h"), "left").drop("__h", "__h2")
+        own = map_rows(hashed, pair, mentions).distinct().join(later, ["kind", "canon"])
+        key, mine = fresh(docs, "__text_hash"), fresh(docs, "__later")
+        own = own.groupBy(F.col("__h").alias(key)).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias(mine))
+        source = docs.join(own, F.xxhash64(docs["text"]) == F.col(key), "left").select(*[docs[c] for c in names], mine)
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
