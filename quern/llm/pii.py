@@ -346,9 +346,9 @@ def rewrite(docs: DataFrame, key: bytes = KEY, broadcast_rows: int = BROADCAST_R
 
         hashed = docs.select(F.xxhash64("text").alias("__h"), "text")
         own = map_rows(hashed, pair, mentions).distinct().join(later, ["kind", "canon"])
-        key, mine = fresh(docs, "__text_hash"), fresh(docs, "__later")
-        own = own.groupBy(F.col("__h").alias(key)).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias(mine))
-        source = docs.join(own, F.xxhash64(docs["text"]) == F.col(key), "left").select(*[docs[c] for c in names], mine)
+        hash_, mine = fresh(docs, "__text_hash"), fresh(docs, "__later")
+        own = own.groupBy(F.col("__h").alias(hash_)).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias(mine))
+        source = docs.join(own, F.xxhash64(docs["text"]) == F.col(hash_), "left").select(*[docs[c] for c in names], mine)
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
