@@ -19,23 +19,27 @@ SKIPPED_SUFFIXES = (".pyc", ".pyo", ".tmp", ".swp", ".lock", ".ds_store", ".exe"
 RAW = "external_id string, uri string, content binary, error string"
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(external_id, uri, content) of every file under a folder, or of one file.
-
-    Names are relative to the folder, and only these are tested for what to skip."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    base = folder.rstrip("/").removeprefix("file://")
+def named(files: DataFrame, base: str) -> DataFrame:
+    """(external_id, uri, content) of binaryFile rows; names are relative to the
+    folder, and only these are tested for what to skip."""
     path = F.regexp_replace(F.col("path"), "^file:/*", "/")
     name = F.regexp_replace(F.when(F.startswith(path, F.lit(base)), F.substring(path, F.lit(len(base) + 1), F.char_length(path))).otherwise(path), "^/+", "")
     name = F.when(name == "", F.element_at(F.split(path, "/"), -1)).otherwise(name)
     out = files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("external_id"), F.concat(F.lit("file://"), path).alias("uri"), "content")
-    bad = F.arrays_overlap(F.slice(F.split("external_id", "/"), 1, F.greatest(F.size(F.split("external_id", "/")) - 1, F.lit(0))), F.array(*[F.lit(x) for x in SKIPPED_FOLDERS]))
+    folders = F.slice(F.split("external_id", "/"), 1, F.greatest(F.size(F.split("external_id", "/")) - 1, F.lit(0)))
+    bad = F.arrays_overlap(folders, F.array(*[F.lit(x) for x in SKIPPED_FOLDERS]))
     ends = F.lit(False)
     for s in SKIPPED_SUFFIXES:
         ends = ends | F.endswith(F.lower("external_id"), F.lit(s))
     return out.where(~bad & ~ends)
 
 
+def scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file under a folder, or one file."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return named(found, folder.rstrip("/").removeprefix("file://"))
+
+
 def expanded(files: DataFrame, guards: Guards = Guards()) -> DataFrame:
     """Archives become their members; a refused one becomes one row with an error."""
 
