@@ -28,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import textbytes
-from quern.llm.common import cut, hinted, id_type, map_rows, without
+from quern.llm.common import cut, fresh, hinted, id_type, map_rows, without
 
 SEGMENTS = 7
 MAX_DISTANCE = 13
@@ -174,14 +174,13 @@ def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with one row of each group, all their columns kept."""
     left = without(docs, groups(docs, max_distance).select("doc_id"))
-    again = cut(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"))
+    key, rank = fresh(docs, "__again"), fresh(docs, "__rank")
+    again = cut(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key))
     if again.isEmpty():
         return left
     few = hinted(again, 2_000_000)
-    once = left.join(few, left["doc_id"] == F.col("__again"), "left_anti")
-    many = left.join(few, left["doc_id"] == F.col("__again"), "left_semi")
-    cols = [F.struct(F.coalesce("text", F.lit("")), *[F.col(c).cast("string") for c in docs.columns if c != "text"])]
-    from pyspark.sql import Window
-
-    one = many.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy(*cols))).where("__r = 1").drop("__r")
+    once = left.join(few, left["doc_id"] == F.col(key), "left_anti")
+    many = left.join(few, left["doc_id"] == F.col(key), "left_semi")
+    order = [F.struct(F.coalesce("text", F.lit("")), *[F.col(c).cast("string") for c in docs.columns if c != "text"])]
+    one = many.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col(rank) == 1).drop(rank)
     return once.unionByName(one)
