@@ -101,39 +101,53 @@ def _field(half: int, shift: int, width: int) -> Column:
 
 def _variants(bit: int) -> Column:
     """Index keys of one side: each segment as it is, and each segment without
-    one bit where that bit is ``bit``.  A key names segment, wildcard and value."""
+    one bit where that bit is ``bit``.  A key names segment, wildcard and value,
+    in one int."""
     keys = []
     for s, (half, shift, width) in enumerate(CUTS):
-        value = _field(half, shift, width)
-        tag = s << 40
-        keys.append(value.bitwiseOR(F.lit(tag).cast("long")))
+        value = _field(half, shift, width).cast("int")
+        keys.append(value.bitwiseOR(F.lit(_tag(s, 0))))
         for i in range(width):
-            here = F.shiftrightunsigned(value, i).bitwiseAND(F.lit(1).cast("long"))
-            masked = value.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << i)).cast("long"))
-            keys.append(F.when(here == bit, masked.bitwiseOR(F.lit(tag | ((i + 1) << 32)).cast("long"))))
+            here = F.shiftrightunsigned(value, i).bitwiseAND(F.lit(1))
+            masked = value.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << i)))
+            keys.append(F.when(here == bit, masked.bitwiseOR(F.lit(_tag(s, i + 1)))))
     return F.explode(F.array_compact(F.array(*keys)))
 
 
+def _tag(segment: int, wildcard: int) -> int:
+    return (segment * 32 + wildcard) << 22
+
+
 def _bits(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
 def near(sigs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Pairs (a, b, distance), a < b, of distinct signatures id, hi, lo."""
+    """Pairs (a, b, distance), a < b, of distinct signatures id, hi, lo.
+
+    Index rows carry the first half of the signature only.  No pair is farther
+    apart in a half than in the whole, so what that half leaves of the joined
+    pairs, a few, is looked up and verified in full."""
     if max_distance > 2 * SEGMENTS - 1:
         raise ValueError(f"{SEGMENTS} segments find distances up to {2 * SEGMENTS - 1}")
-    left = sigs.select(F.col("id").alias("a"), F.col("hi").alias("hi_a"), F.col("lo").alias("lo_a"), _variants(0).alias("key_a"))
-    right = sigs.select(F.col("id").alias("b"), F.col("hi").alias("hi_b"), F.col("lo").alias("lo_b"), _variants(1).alias("key_b"))
-    distance = _bits("hi_a", "hi_b") + _bits("lo_a", "lo_b")
-    met = F.lit(-1)
+    left = sigs.select(F.col("id").alias("a"), F.col("hi").alias("hi_a"), _variants(0).alias("key_a"))
+    right = sigs.select(F.col("id").alias("b"), F.col("hi").alias("hi_b"), _variants(1).alias("key_b"))
+    # the first segment of that half that meets; 31 if none does
+    met = F.lit(31)
     for s, (half, shift, width) in reversed(list(enumerate(CUTS))):
-        x = F.col("hi_a" if half == 0 else "lo_a").bitwiseXOR(F.col("hi_b" if half == 0 else "lo_b"))
-        x = F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        met = F.when(F.bit_count(x) <= 1, s).otherwise(met)
-    segment = F.shiftrightunsigned("key_a", 40)
-    wildcard = F.shiftrightunsigned("key_a", 32).bitwiseAND(F.lit(255).cast("long"))
-    on = (F.col("key_a") == F.col("key_b")) & (distance <= max_distance) & (met == segment) & ((wildcard > 0) | (F.col("a") < F.col("b")))
-    return left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), distance.alias("distance"))
+        if half == 0:
+            x = F.shiftrightunsigned(F.col("hi_a").bitwiseXOR(F.col("hi_b")), shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            met = F.when(F.bit_count(x) <= 1, s).otherwise(met)
+    segment = F.shiftrightunsigned("key_a", 27)
+    wildcard = F.shiftrightunsigned("key_a", 22).bitwiseAND(F.lit(31))
+    once = (met == segment) | ((met == 31) & (segment >= sum(half == 0 for half, _, _ in CUTS)))
+    on = (F.col("key_a") == F.col("key_b")) & (_bits("hi_a", "hi_b") <= max_distance) & once & ((wildcard > 0) | (F.col("a") < F.col("b")))
+    some = left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = sigs.select(F.col("id").alias("ia"), F.col("hi").alias("hi_a"), F.col("lo").alias("lo_a"))
+    two = sigs.select(F.col("id").alias("ib"), F.col("hi").alias("hi_b"), F.col("lo").alias("lo_b"))
+    whole = some.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib"))
+    distance = _bits("hi_a", "hi_b") + _bits("lo_a", "lo_b")
+    return whole.where(distance <= max_distance).select("a", "b", distance.alias("distance"))
 
 
 def components(edges: DataFrame) -> DataFrame:
