@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.operators.sizes import union
 
 RRF_K = 60
 
@@ -19,10 +20,8 @@ def fuse(arms: dict[str, DataFrame], query_id: str, id_: str, limit: int | None
         raise ValueError("k must be 1 at least")
     if not arms:
         raise ValueError("no arm to fuse")
-    rows = None
-    for name in sorted(arms):
-        one = arms[name].groupBy(query_id, id_).agg(F.min("rank").cast("int").alias("r")).withColumn("arm", F.lit(name))
-        rows = one if rows is None else rows.unionByName(one)
+    rows = union([arms[n].select(query_id, id_, F.col("rank").cast("int").alias("r"), F.lit(n).alias("arm")) for n in sorted(arms)])
+    rows = rows.groupBy(query_id, id_, "arm").agg(F.min("r").alias("r"))
     ranks = F.map_from_entries(F.sort_array(F.collect_list(F.struct("arm", "r"))))
     # summed in the arms' order, so that equal ranks give equal scores
     score = F.aggregate(F.transform(F.sort_array(F.collect_list("r")), lambda r: 1.0 / (k + r)), F.lit(0.0), lambda a, b: a + b)

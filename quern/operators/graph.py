@@ -8,6 +8,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.sizes import union
+
 
 @cache
 def _folder() -> str:
@@ -27,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    return union([edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))]).where("src <> dst").distinct()
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
@@ -39,7 +41,7 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
         step = front.join(e, front["node"] == e["src"]).select("seed", F.col("dst").alias("node")).distinct()
         known = seen.select(F.col("seed").alias("s"), F.col("node").alias("n"))
         front = step.join(known, (step["seed"] == F.col("s")) & (step["node"] == F.col("n")), "left_anti").withColumn("hop", F.lit(h))
-        seen = seen.unionByName(front)
+        seen = union([seen, front])
     return seen.where("hop > 0")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.errors import GoldenError
+from quern.operators.sizes import union
 
 SHAPES = ("lookup", "comparison", "temporal", "unanswerable")
 KS = (5, 20)
@@ -100,12 +101,11 @@ def aggregate(scores: DataFrame, questions: int) -> DataFrame:
 
 
 def compare_arms(arms: dict[str, DataFrame], relevant: DataFrame, question: str, item: str) -> DataFrame:
-    out = None
+    made = []
     for name in sorted(arms):
         s = score(arms[name], relevant, question, item)
-        one = s.agg(*[F.round(F.avg(c), 6).alias(c) for c in s.columns[1:]]).select(F.lit(name).alias("arm"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+        made.append(s.agg(*[F.round(F.avg(c), 6).alias(c) for c in s.columns[1:]]).select(F.lit(name).alias("arm"), "*"))
+    return union(made)
 
 
 def provenance(settings: dict, counts: dict[str, int], model: str, folder: str = ".") -> dict:

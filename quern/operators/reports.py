@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.sizes import union
+
 
 def ages_fastest(view: DataFrame, id_: str, stale: str, k: int | None = None) -> DataFrame:
     out = view.where(F.col(stale).isNotNull()).select(id_, stale).orderBy(stale, id_)
@@ -48,11 +50,7 @@ def coverage(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n) of each table."""
-    out = None
-    for name in sorted(tables):
-        one = tables[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return union([tables[n].agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in sorted(tables)])
 
 
 def pages(assertions: DataFrame, subject: str = "subject_id") -> DataFrame:

@@ -1,7 +1,9 @@
-"""Checks before a broadcast."""
+"""Checks before a broadcast, and safe unions."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,3 +13,11 @@ ROWS = 100_000
 def hinted(df: DataFrame, rows: int = ROWS) -> DataFrame:
     """A broadcast hint behind a count; beyond it Spark chooses."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    """Rows of several tables by name.  A union of equally partitioned inputs may
+    be zipped by partition, which fails where adaptive execution has given these
+    other numbers of partitions; that is switched off."""
+    parts[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return reduce(DataFrame.unionByName, parts)
