@@ -2,9 +2,9 @@
 
 A document's signature has 128 bits: each bit is the majority, over the
 document's distinct words, of that bit of the words' hashes.  Two documents are
-near duplicates if their signatures differ in at most ``MAX_DISTANCE`` = 13
-bits.  The signature is cut into only 7 segments, fewer than the 14 that exact
-segment matching would need: of 13 differing bits some segment has at most one.
+near duplicates if their signatures differ in at most ``MAX_DISTANCE`` = 15
+bits.  The signature is cut into only 8 segments, fewer than the 16 that exact
+segment matching would need: of 15 differing bits some segment has at most one.
 So each segment is indexed as it is and with each one bit left out (a wildcard),
 an equality join on these variants finds every pair, and the Hamming distance
 verifies it.  A variant with a wildcard goes to the left side of the join if its
@@ -35,18 +35,15 @@ from pyspark.sql import types as T
 from quern.llm import textbytes
 from quern.llm.common import cut, fresh, hinted, id_type, map_rows, without
 
-SEGMENTS = 7
-MAX_DISTANCE = 13
+SEGMENTS = 8
+MAX_DISTANCE = 15
 _WORD = 64
 
 
 def _cuts() -> list[tuple[int, int, int]]:
-    """(half, shift, width) of each segment: four in the first 64 bits, three in the other."""
-    out = []
-    for half, parts in ((0, 4), (1, 3)):
-        edges = [round(_WORD * k / parts) for k in range(parts + 1)]
-        out += [(half, a, b - a) for a, b in zip(edges, edges[1:])]
-    return out
+    """(half, shift, width) of each segment: four of 16 bits in either half."""
+    width = 2 * _WORD // SEGMENTS
+    return [(half, a, width) for half in (0, 1) for a in range(0, _WORD, width)]
 
 
 CUTS = _cuts()
