@@ -1,9 +1,9 @@
 """Chat formatting of reply trees.
 
-Messages name their parent.  Starting from the roots, a self-join on the parent
-extends every path by one reply at a time until none has one; a path that has
-no reply is a root-to-leaf branch.  Branches of a tree are ranked by their
-messages' mean score, and the best are each formatted as one conversation.
+Messages name their parent.  Iterative self-joins on it enumerate every path from
+a root to a message without a reply; each doubles the reach of the last, so a
+thread of n messages takes 2 log2(n) of them.  Branches of a tree are ranked by
+their messages' mean score, and the best are each formatted as one conversation.
 Paths carry ids and scores only; texts are joined once, for the chosen branches.
 
 Defined cases: a message with a null id or whose ancestors never reach a root
@@ -34,23 +34,43 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree_id"), key(F.col("turn")).alias("message_id"), F.when(F.col("__before").isNotNull(), key(F.col("__before"))).alias("parent_id"), "role", "text", F.char_length("text").cast("double").alias("score"))
 
 
-def branches(messages: DataFrame) -> DataFrame:
-    """(tree_id, path, score) of each root-to-leaf path; score is the mean."""
+def _nodes(messages: DataFrame) -> DataFrame:
+    """One row an id: the one with the least parent, role and text."""
     order = Window.partitionBy("message_id").orderBy("parent_id", "role", "text")
-    nodes = messages.where("message_id IS NOT NULL").withColumn("__r", F.row_number().over(order)).where("__r = 1")
-    nodes = cut(nodes.select("tree_id", "message_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
-    replies = nodes.select(F.col("parent_id").alias("p"), F.col("message_id").alias("m"), F.col("score").alias("s")).where("p IS NOT NULL AND p <> m")
-    paths = cut(nodes.where("parent_id IS NULL").select("tree_id", F.col("message_id").alias("last"), F.array("message_id").alias("path"), F.col("score").alias("total")))
-    done = None
-    while not paths.isEmpty():
-        longer = paths.join(replies, F.col("last") == F.col("p"), "left")
-        longer = cut(longer)
-        leaf = longer.where("m IS NULL").select("tree_id", "path", "total")
-        done = leaf if done is None else done.unionByName(leaf)
-        paths = longer.where("m IS NOT NULL").select("tree_id", F.col("m").alias("last"), F.concat("path", F.array("m")).alias("path"), (F.col("total") + F.col("s")).alias("total"))
-    if done is None:
-        done = paths.select("tree_id", "path", "total")
-    return done.select("tree_id", "path", F.round(F.col("total") / F.size("path"), 6).alias("score"))
+    named = messages.where("message_id IS NOT NULL").select("tree_id", "message_id", "parent_id", "role", "text", "score")
+    return named.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+
+
+def branches(messages: DataFrame) -> DataFrame:
+    """(tree_id, path, score) of each root-to-leaf path; score is the mean.
+
+    Self-joins double the reach: of every message its 1st, 2nd, 4th, 8th ...
+    ancestor.  From a leaf, the joins with these from the farthest to the nearest
+    meet each ancestor once, as each distance is one sum of powers of two."""
+    nodes = cut(_nodes(messages).select("tree_id", "message_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
+    above = nodes.select(F.col("message_id").alias("anc"), F.col("score").alias("anc_score"))
+    step = nodes.where("parent_id IS NOT NULL").select(F.col("message_id").alias("node"), F.col("parent_id").alias("up"))
+    jumps = [cut(step.join(above, F.col("up") == F.col("anc")).select("node", "anc", "anc_score"))]
+    total, reach = nodes.count(), 1
+    while reach < total and not jumps[-1].isEmpty():
+        far = jumps[-1].select(F.col("node").alias("up"), F.col("anc").alias("far"), F.col("anc_score").alias("far_score"))
+        jumps.append(cut(jumps[-1].join(far, F.col("anc") == F.col("up")).select("node", F.col("far").alias("anc"), F.col("far_score").alias("anc_score"))))
+        reach *= 2
+    replied = jumps[0].select(F.col("anc").alias("__has_reply")).distinct()
+    leaves = nodes.join(replied, F.col("message_id") == F.col("__has_reply"), "left_anti")
+    # an ancestor as far away as there are messages: the chain runs into a cycle
+    if reach >= total:
+        endless = jumps.pop().select(F.col("node").alias("__endless"))
+        leaves = leaves.join(endless, F.col("message_id") == F.col("__endless"), "left_anti")
+    met = leaves.select(F.col("message_id").alias("leaf"), F.col("message_id").alias("at"), F.lit(0).alias("back"), "score")
+    for k in range(len(jumps) - 1, -1, -1):
+        more = met.join(jumps[k], F.col("at") == F.col("node")).select("leaf", F.col("anc").alias("at"), (F.col("back") + (1 << k)).alias("back"), F.col("anc_score").alias("score"))
+        met = cut(met.unionByName(more))
+    steps = F.sort_array(F.collect_list(F.struct("back", "at", "score")), asc=False)
+    paths = met.groupBy("leaf").agg(steps.alias("s")).select(F.col("s.at").alias("path"), F.aggregate("s.score", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    roots = nodes.where("parent_id IS NULL").select("tree_id", F.col("message_id").alias("__root"))
+    whole = paths.join(roots, F.get("path", F.lit(0)) == F.col("__root"))
+    return whole.select("tree_id", "path", F.round(F.col("total") / F.size("path"), 6).alias("score"))
 
 
 def formatted(messages: DataFrame, top: int = TOP) -> DataFrame:
@@ -58,8 +78,7 @@ def formatted(messages: DataFrame, top: int = TOP) -> DataFrame:
     branches of each tree as text."""
     ranked = branches(messages).withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), F.desc(F.size("path")), "path"))).where(F.col("branch_rank") <= top)
     ranked = cut(ranked)
-    order = Window.partitionBy("message_id").orderBy("parent_id", "role", "text")
-    body = messages.where("message_id IS NOT NULL").withColumn("__r", F.row_number().over(order)).where("__r = 1").select(F.col("message_id").alias("m"), "role", "text")
+    body = _nodes(messages).select(F.col("message_id").alias("m"), "role", "text")
     role = F.when(F.lower(F.trim("role")).isin(*ROLES), F.lower(F.trim("role"))).otherwise("user")
     turn = F.concat(F.lit("<|"), role, F.lit("|>\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<\\|")), F.lit("\n<|end|>"))
     steps = ranked.select("tree_id", "branch_rank", "score", F.posexplode("path").alias("i", "message_id"))
