@@ -103,6 +103,14 @@ def test_event_streams_equal_batch(spark, tmp_path):
     assert sorted((r.user_id, r.event_type, r.event_id) for r in spark.table("o").collect()) == sorted(map(tuple, last.collect()))
 
 
+def test_data_source_reads_what_the_scan_reads(spark, corpus):
+    from quern.sources import datasource, files
+
+    datasource.register(spark)
+    a = {(r.external_id, bytes(r.content or b"")) for r in spark.read.format("quern_archive").load(str(corpus)).collect()}
+    assert a == {(r.external_id, bytes(r.content or b"")) for r in files.expanded(files.scan(spark, str(corpus))).collect()} and len(a) == 7
+
+
 def test_commands(spark, corpus, tmp_path, capsys):
     def call(*args: str) -> str:
         assert cli.run(cli.parser().parse_args(["--store", str(tmp_path / "cli"), *args]), spark) == 0
