@@ -37,6 +37,7 @@ SAMPLE_BYTES = 32_768
 #: Labelled rows longer than this are not taken as training text.
 SAMPLE_ROW_BYTES = 4_096
 SAMPLE_ROWS = 128
+SLICES = 256
 REJECT_RATIO = 2.4
 MIN_SYMBOLS = 24
 TABLE_BYTES = 256 << 20
@@ -169,7 +170,10 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_rows: int =
     size = F.octet_length("text")
     named = docs.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h"), size.alias("size"))
     named = named.where(F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("size").between(80, SAMPLE_ROW_BYTES))
-    chosen = named.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= sample_rows)
+    # least of each slice first, so that no task sorts what all tasks hand on of a language
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "text"))
+    some = named.withColumn("slice", F.pmod("h", F.lit(SLICES))).withColumn("r", rank("lang", "slice")).where(F.col("r") <= sample_rows)
+    chosen = some.withColumn("r", rank("lang")).where(F.col("r") <= sample_rows)
     by: dict[str, list[str]] = {}
     for lang, text, _ in sorted(chosen.select("lang", "text", "r").collect(), key=lambda x: (x[0], x[2])):
         by.setdefault(lang, []).append(text)
