@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -49,6 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a Parquet table, which takes less room for narrow rows."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, unless the session was started with a size of its own:
     tables of texts with some very long ones make the default's batches large."""

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import textbytes
-from quern.llm.common import cut, fresh, hinted, id_type, map_rows, without
+from quern.llm.common import cut, fresh, hinted, id_type, map_rows, stored, without
 
 SEGMENTS = 8
 MAX_DISTANCE = 15
@@ -148,19 +148,33 @@ def near(sigs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the least id reachable over edges (a, b), by least labels of
-    neighbours and pointer jumping until nothing changes."""
-    pairs = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
-    labels = cut(pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
-    while True:
-        seen = pairs.join(labels, pairs["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("m"))
-        hooked = labels.join(seen, labels["id"] == seen["a"]).select("id", "root", F.least("root", "m").alias("next"))
-        jump = labels.select(F.col("id").alias("j"), F.col("root").alias("far"))
-        new = cut(hooked.join(jump, hooked["next"] == jump["j"], "left").select("id", "root", F.least("next", F.coalesce("far", "next")).alias("next")))
-        done = new.where("next <> root").isEmpty()
-        labels = new.select("id", F.col("next").alias("root"))
-        if done:
-            return labels
+    """(id, root): the least id reachable over edges (a, b).
+
+    Each round every node points to its least neighbour, the pointers are followed
+    to their ends, and the edges are contracted to these ends; those within one
+    end go, so what is shuffled shrinks from round to round."""
+    spark = edges.sparkSession
+    left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    labels = None
+    while not left.isEmpty():
+        # the greater end of an edge is never its component's least: it points down
+        least = left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
+        ends = stored(least.unionByName(left.select(F.col("a").alias("id")).distinct().join(least.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_anti").select("id", F.col("id").alias("root"))))
+        moved = True
+        while moved:
+            far = ends.select(F.col("id").alias("i"), F.col("root").alias("far"))
+            new = stored(ends.join(far, F.col("root") == F.col("i")).select("id", "root", "far"))
+            moved = not new.where("far <> root").isEmpty()
+            ends = new.select("id", F.col("far").alias("root"))
+        to = lambda n: ends.select(F.col("id").alias(f"i{n}"), F.col("root").alias(f"r{n}"))  # noqa: B023, E731
+        if labels is None:
+            labels = ends
+        else:
+            old = labels.join(to(0), F.col("root") == F.col("i0"), "left").select("id", F.coalesce("r0", "root").alias("root"))
+            labels = stored(old)
+        moved_ends = left.join(to(1), F.col("a") == F.col("i1")).join(to(2), F.col("b") == F.col("i2")).where("r1 <> r2")
+        left = stored(moved_ends.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct())
+    return labels if labels is not None else spark.createDataFrame([], edges.select(F.col("a").alias("id"), F.col("a").alias("root")).schema)
 
 
 def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
