@@ -3,17 +3,19 @@
 Symbols are the lower-cased bytes of a text, with ``DEPTH`` boundary symbols (0)
 before it.  Over the whole corpus every run of DEPTH + 1 symbols is counted,
 which gives the next-symbol counts of every context up to DEPTH symbols.  A
-context is retained if its share of all positions is ``MIN_SHARE`` at least and
-its next-symbol distribution diverges from that of its suffix without the oldest
+context is retained if it is seen ``MIN_COUNT`` times at least and its
+next-symbol distribution diverges from that of its suffix without the oldest
 symbol: count times Kullback-Leibler divergence above ``GAIN`` nats for each
-distinct next symbol.  Suffixes of retained contexts are retained.  The share
-bounds the tree by DEPTH / MIN_SHARE contexts at any size of corpus.
+distinct next symbol.  Suffixes of retained contexts are retained.  No share of
+the corpus is asked for, so the tree grows with what the corpus shows.
 Distributions are smoothed towards those of their suffixes with ``WEIGHT``
 pseudo-counts, the empty context's towards the uniform one.
 
-For scoring, the contexts become one automaton whose state is the longest
-suffix of the text so far that begins some context; each state carries the
-distribution of its longest retained suffix.  All texts advance in lockstep.
+The bits of a position depend on its run only, so they are found once for each
+distinct run of a slice of texts, in the longest retained suffix of its context.
+If the tree has at most ``BROADCAST_ROWS`` rows (counted first) it goes to every
+executor and texts are scored where they are; beyond that the runs of texts are
+joined with the tree, level by level.  Both ways give the same rows.
 
 Defined cases: a null or empty text has no symbols and null bits; a zero byte
 counts as byte 1; rows are independent, repeated rows score and count twice; an
@@ -32,16 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm import lockstep, textbytes
+from quern.llm import textbytes
 from quern.llm.common import cut, id_type, map_rows, tune
 
 DEPTH = 5
-MIN_SHARE = 1e-4
+MIN_COUNT = 50
 GAIN = 3.0
 WEIGHT = 8.0
 UNIFORM = 0.5
 #: Distinct runs that a task holds before it hands them on.
 HELD = 4_000_000
+#: Rows (context, symbol) of a tree that goes to every executor.
+BROADCAST_ROWS = 4_000_000
 
 
 def padded(raw: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +58,12 @@ def padded(raw: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np
     return out, new
 
 
-def runs(raw: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(run, count): each run of depth + 1 symbols as a number, oldest symbol first."""
+def positions(raw: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """The run of depth + 1 symbols that ends at each symbol, as a number, oldest
+    symbol first."""
     x, new = padded(raw, offsets, depth)
     if len(raw) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     code = np.zeros(len(x) - depth, np.int64)
     for k in range(depth + 1):
         code <<= 8
@@ -67,7 +72,12 @@ def runs(raw: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.n
     for k in range(depth):  # runs that end in a boundary symbol
         p = new[1:-1] + k - depth
         boundary[p[(p >= 0) & (p < len(code))]] = True
-    return np.unique(code[~boundary], return_counts=True)
+    return code[~boundary]
+
+
+def runs(raw: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(run, count): each distinct run."""
+    return np.unique(positions(raw, offsets, depth), return_counts=True)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,20 +115,21 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return docs.select("text").mapInArrow(task, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def tree(counted: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, gain: float = GAIN) -> DataFrame:
+def tree(counted: DataFrame, depth: int = DEPTH, min_share: float | None = None, gain: float = GAIN, min_count: int = MIN_COUNT) -> DataFrame:
     """(d, ctx, sym, n): next-symbol counts of each retained context, oldest
-    symbol in the highest byte; the empty context has d = 0."""
+    symbol in the highest byte; the empty context has d = 0.  A ``min_share`` of
+    all positions, if given, stands in place of ``min_count``."""
     sym = F.col("run").bitwiseAND(F.lit(255).cast("long"))
     level = cut(counted.select(F.shiftright("run", 8).alias("ctx"), sym.alias("sym"), "n"))
     levels = {depth: level}
     for d in range(depth - 1, -1, -1):
         mask = F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long"))
         levels[d] = cut(levels[d + 1].groupBy(mask.alias("ctx"), "sym").agg(F.sum("n").alias("n")))
-    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = min_count if min_share is None else min_share * levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kept = None
     for d in range(depth, 0, -1):
         up = F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1).cast("long"))
-        sums = levels[d].groupBy("ctx").agg(F.sum("n").alias("all")).where(F.col("all") >= min_share * total)
+        sums = levels[d].groupBy("ctx").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
         above = levels[d - 1].groupBy(F.col("ctx").alias("pc")).agg(F.sum("n").alias("pall"))
         rows = levels[d].join(sums, "ctx").withColumn("up", up)
         rows = rows.join(levels[d - 1].select(F.col("ctx").alias("pctx"), F.col("sym").alias("psym"), F.col("n").alias("pn")), (F.col("up") == F.col("pctx")) & (F.col("sym") == F.col("psym")))
@@ -133,107 +144,72 @@ def tree(counted: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, g
 
 
 class Model:
-    """The automaton: next state and log2 probability by state and symbol."""
-
-    def __init__(self, d: np.ndarray, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray, depth: int, weight: float):
-        self.depth = depth
-        seen = np.unique(np.concatenate([sym, *[(ctx[d > k] >> 8 * k) & 255 for k in range(depth)], [0]]))
-        self.code = np.full(256, len(seen), np.int64)
-        self.code[seen] = np.arange(len(seen))
-        width = self.width = len(seen) + 1
-        # distributions, level by level
-        dist, keys = [], []
-        for k in range(depth + 1):
-            pick = d == k
-            own, at = np.unique(ctx[pick], return_inverse=True)
-            if k == 0 and not len(own):
-                own = np.zeros(1, np.int64)
-            table = np.zeros((len(own), width))
-            table[at, self.code[sym[pick]]] = n[pick]
-            total = table.sum(1, keepdims=True)
-            if k == 0:
-                p = (table + UNIFORM) / (total + 256 * UNIFORM)
-            else:
-                parent = np.searchsorted(keys[-1], own & ((1 << 8 * (k - 1)) - 1))
-                p = (table + weight * dist[-1][parent]) / (total + weight)
-            dist.append(p)
-            keys.append(own)
-        # nodes: every beginning of a context, by length
-        nodes = [np.unique(np.concatenate([keys[k] >> 8 * (k - j) for k in range(j, depth + 1)])) if j else np.zeros(1, np.int64) for j in range(depth + 1)]
-        base = np.concatenate(([0], np.cumsum([len(x) for x in nodes])))
-        self.next = np.zeros((base[-1], width), np.int64)
-        fail = np.zeros(base[-1], np.int64)
-        dist_of = np.zeros((base[-1], width), np.float32)
-        for j in range(depth + 1):
-            ids = base[j] + np.arange(len(nodes[j]))
-            if j:
-                parent = base[j - 1] + np.searchsorted(nodes[j - 1], nodes[j] >> 8)
-                last = self.code[nodes[j] & 255]
-                fail[ids] = self.next[fail[parent], last] if j > 1 else 0
-            self.next[ids] = self.next[fail[ids]] if j else 0
-            dist_of[ids] = dist_of[fail[ids]] if j else 0
-            if len(keys[j]):
-                where = np.searchsorted(keys[j], nodes[j])
-                has = (where < len(keys[j])) & (keys[j][np.minimum(where, len(keys[j]) - 1)] == nodes[j])
-                dist_of[ids[has]] = dist[j][where[has]]
-            if j < depth and len(nodes[j + 1]):
-                # edges to the children must be there before the next level looks up its failures
-                child = base[j + 1] + np.arange(len(nodes[j + 1]))
-                up = base[j] + np.searchsorted(nodes[j], nodes[j + 1] >> 8)
-                pending = (up, self.code[nodes[j + 1] & 255], child)
-                if j == 0:
-                    self.next[pending[0], pending[1]] = pending[2]
-                else:
-                    # failures of level j + 1 follow links of shorter nodes only
-                    f = self.next[fail[up], pending[1]]
-                    fail[child] = f
-                    self.next[pending[0], pending[1]] = pending[2]
-        self.logp = np.log2(dist_of).ravel()
-        self.next = self.next.astype(np.int32).ravel()
+    """Rows (d, ctx, sym) as sorted numbers, with their counts, and the contexts."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, depth: int, weight: float):
+        self.depth, self.weight = depth, weight
+        self.pairs, self.contexts = [], []
+        cuts = np.searchsorted(key, np.arange(depth + 2, dtype=np.int64) << 48)
+        for d in range(depth + 1):
+            own, count = key[cuts[d] : cuts[d + 1]] & ((1 << 48) - 1), n[cuts[d] : cuts[d + 1]]
+            ctx = own >> 8
+            first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(ctx) else np.zeros(0, np.int64)
+            self.pairs.append((own, count))
+            self.contexts.append((ctx[first], np.add.reduceat(count, first) if len(first) else count))
+        base = np.zeros(256)
+        base[self.pairs[0][0]] = self.pairs[0][1]
+        self.base = (base + UNIFORM) / (base.sum() + 256 * UNIFORM)
+
+    def bits(self, run: np.ndarray) -> np.ndarray:
+        """Bits of the last symbol of each run."""
+        p, left = self.base[run & 255], np.arange(len(run))
+        for d in range(1, self.depth + 1):
+            pair = run[left] & ((1 << 8 * (d + 1)) - 1)
+            ctx, total = self.contexts[d]
+            at = np.minimum(np.searchsorted(ctx, pair >> 8), len(ctx) - 1)
+            has = ctx[at] == pair >> 8 if len(ctx) else np.zeros(len(left), bool)
+            # suffixes of retained contexts are retained: what is missing here is missing below
+            left, pair, at = left[has], pair[has], at[has]
+            if not len(left):
+                break
+            own, count = self.pairs[d]
+            where = np.minimum(np.searchsorted(own, pair), len(own) - 1)
+            n = np.where(own[where] == pair, count[where], 0)
+            p[left] = (n + self.weight * p[left]) / (total[at] + self.weight)
+        return -np.log2(p)
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each row."""
-        x, new = padded(raw, offsets, self.depth)
-        symbols = self.code[x].astype(np.int32)
-        start, size, row, _ = _segments(new, self.depth)
-        state = np.zeros(len(start), np.int32)
-        bits = np.zeros(len(start))
-
-        def step(t: int, n: int, v: np.ndarray) -> None:
-            at = state[:n] * np.int32(self.width) + v
-            if t >= self.depth:
-                bits[:n] -= self.logp.take(at)
-            state[:n] = self.next.take(at)
-
-        lockstep.walk(symbols, start, size, step)
-        return np.bincount(row, weights=bits, minlength=len(offsets) - 1)[: len(offsets) - 1]
-
-
-def _segments(new: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of the padded rows, each with ``depth`` symbols of warm-up."""
-    inner = np.concatenate(([0], np.cumsum(np.maximum(0, np.diff(new) - depth))))
-    start, size, row, _ = lockstep.segments(inner)
-    return start + depth * row, size + depth, row, size
+        run, at = np.unique(positions(raw, offsets, self.depth), return_inverse=True)
+        rows = len(offsets) - 1
+        return np.bincount(np.repeat(np.arange(rows), np.diff(offsets)), weights=self.bits(run)[at], minlength=rows)
 
 
 @lru_cache(maxsize=1)
 def _model(key: bytes, depth: int, weight: float) -> Model:
-    rows = np.frombuffer(key, np.int64).reshape(4, -1)
-    return Model(*rows, depth, weight)
+    return Model(*np.frombuffer(key, np.int64).reshape(2, -1), depth, weight)
 
 
-def train(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, gain: float = GAIN) -> np.ndarray:
-    """The retained contexts as a 4-row array d, ctx, sym, n; DEPTH / MIN_SHARE
-    contexts at most."""
-    got = tree(counts(docs, depth), depth, min_share, gain).toArrow()
+def _collected(kept: DataFrame) -> np.ndarray:
+    got = kept.toArrow()
     rows = np.array([got.column(c).to_numpy().astype(np.int64) for c in ("d", "ctx", "sym", "n")])
     return rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
 
 
+def train(docs: DataFrame, depth: int = DEPTH, min_share: float | None = None, gain: float = GAIN, min_count: int = MIN_COUNT) -> np.ndarray:
+    """The retained contexts as a 4-row array d, ctx, sym, n."""
+    return _collected(tree(counts(docs, depth), depth, min_share, gain, min_count))
+
+
+def _schema(docs: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("doc_id", id_type(docs)), T.StructField("n_symbols", T.LongType()), T.StructField("bits_per_symbol", T.DoubleType())])
+
+
 def score(docs: DataFrame, model: np.ndarray, depth: int = DEPTH, weight: float = WEIGHT) -> DataFrame:
     """(doc_id, n_symbols, bits_per_symbol) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.tobytes())
-    schema = T.StructType([T.StructField("doc_id", id_type(docs)), T.StructField("n_symbols", T.LongType()), T.StructField("bits_per_symbol", T.DoubleType())])
+    d, ctx, sym, n = model
+    sent = docs.sparkSession.sparkContext.broadcast(np.array([d << 48 | ctx << 8 | sym, n]).tobytes())
+    schema = _schema(docs)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = _model(sent.value, depth, weight)
@@ -245,5 +221,33 @@ def score(docs: DataFrame, model: np.ndarray, depth: int = DEPTH, weight: float
     return map_rows(docs.select("doc_id", "text"), schema, run)
 
 
-def score_corpus(docs: DataFrame) -> DataFrame:
-    return score(docs, train(docs))
+def _joined(docs: DataFrame, kept: DataFrame, depth: int, weight: float) -> DataFrame:
+    """The way for a large tree: runs of texts are joined with it."""
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raw, off = textbytes.buffers(batch.column(1))
+        for i in range(batch.num_rows):
+            run, n = runs(raw[off[i] : off[i + 1]], off[i : i + 2] - off[i], depth)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(run), i))), pa.array(run), pa.array(n)], names=["h", "run", "k"])
+
+    hashed = docs.select(F.xxhash64("text").alias("h"), "text").where("octet_length(text) > 0").dropDuplicates(["h"])
+    own = cut(map_rows(hashed, "h long, run long, k long", each))
+    total = kept.where("d = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    scored = own.select("run").distinct().withColumn("sym", F.col("run").bitwiseAND(F.lit(255).cast("long")))
+    scored = scored.join(kept.where("d = 0").select("sym", "n"), "sym", "left").select("run", "sym", ((F.coalesce("n", F.lit(0)) + UNIFORM) / (total + 256 * UNIFORM)).alias("p"))
+    for d in range(1, depth + 1):
+        level = kept.where(F.col("d") == d)
+        at = scored.withColumn("ctx", F.shiftright("run", 8).bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long")))
+        found = at.join(level.groupBy("ctx").agg(F.sum("n").alias("all")), "ctx", "left").join(level.select("ctx", "sym", "n"), ["ctx", "sym"], "left")
+        scored = cut(found.select("run", "sym", F.when(F.col("all").isNull(), F.col("p")).otherwise((F.coalesce("n", F.lit(0)) + weight * F.col("p")) / (F.col("all") + weight)).alias("p")))
+    bits = own.join(scored.select("run", "p"), "run").groupBy(F.col("h").alias("__h")).agg(F.sum(-F.col("k") * F.log2("p")).alias("__bits"))
+    named = docs.select("doc_id", "text").join(bits, F.xxhash64("text") == F.col("__h"), "left")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return named.select("doc_id", size.alias("n_symbols"), F.when(size > 0, F.round(F.col("__bits") / size, 6)).alias("bits_per_symbol"))
+
+
+def score_corpus(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    kept = cut(tree(counts(docs)))
+    if kept.count() <= broadcast_rows:
+        return score(docs, _collected(kept))
+    return _joined(docs, kept, DEPTH, WEIGHT)

@@ -97,3 +97,18 @@ def test_awkward_rows(spark):
     assert by[1][0].bits_per_symbol is None and by[2][0].n_symbols == 0 and by[3][0].n_symbols == len(long)
     assert by[4][0] == by[4][1] and by[None][0].bits_per_symbol > 0
     assert suffixtree.score_corpus(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_contexts_are_kept_by_count_whatever_their_share(spark):
+    # "q" is followed by "x" 60 times in 2,000,000 positions
+    texts = ["abcd efgh " * 20_000] * 10 + ["qxzy"] * 60
+    for n, kept in ((60, True), (49, False)):
+        model = suffixtree.train(docs(spark, texts[: 10 + n]))
+        assert ((1, ord("q")) in {(d, ctx) for d, ctx, _, _ in model.T.tolist()}) == kept
+
+
+def test_both_ways_are_the_same(spark):
+    table = docs(spark, [*_texts(4), None, "", "a\x00b", "Z", "Z"])
+    a, b = (sorted((tuple(r) for r in suffixtree.score_corpus(table, broadcast_rows=n).collect()), key=repr) for n in (suffixtree.BROADCAST_ROWS, 0))
+    assert [r[:2] for r in a] == [r[:2] for r in b] and len(a) == 30
+    assert all(x[2] == y[2] or x[2] == pytest.approx(y[2], abs=2e-6) for x, y in zip(a, b))
