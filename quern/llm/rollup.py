@@ -31,11 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import tokencount
-from quern.llm.common import map_rows, shared_dir
+from quern.llm.common import cut, hinted, map_rows, shared_dir
 
 VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 GROUP = ["source", "lang", "tokenizer"]
 MEASURES = ["n_docs", "n_tokens", "n_chars"]
+#: Batches of inserts that a whole table comes in.
+PARTS = 3
+#: Repeated ids of a table that go to every executor.
+REPEATED_ROWS = 500_000
 
 
 def counted(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, folder: str = tokencount.FOLDER) -> DataFrame:
@@ -106,10 +110,35 @@ class Rollup:
         return sums.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in MEASURES]).where("n_docs <> 0")
 
 
+def changes_of(docs: DataFrame, parts: int = PARTS) -> list[DataFrame]:
+    """Changes in batches after which the rollup holds ``docs``: every document is
+    inserted, in an earlier edition (half its text, no language) where a revision
+    follows; then one half of the ids is deleted and the other revised; then what
+    was deleted is inserted anew.  Repeated ids are deleted and inserted, as a
+    revision counts once; rows with a null id, which cannot be deleted, are only
+    inserted."""
+    columns = ["doc_id", "source", "lang", "text"]
+    hashed = docs.select(*columns, F.xxhash64(F.col("doc_id").cast("string"), F.lit(13)).alias("__h"))
+    ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__many")).count().where("count > 1").select("__many")
+    hashed = hashed.join(hinted(cut(ids), REPEATED_ROWS), F.col("doc_id") == F.col("__many"), "left")
+    revised = F.col("doc_id").isNotNull() & F.col("__many").isNull() & (F.pmod("__h", F.lit(2)) == 0)
+    named = hashed.withColumn("__revised", revised).withColumn("__part", F.pmod(F.shiftright("__h", 8), F.lit(parts)))
+    half = F.substring(F.col("text"), F.lit(1), F.floor(F.char_length("text") / 2).cast("int"))
+    earlier = named.withColumn("lang", F.when(~F.col("__revised"), F.col("lang"))).withColumn("text", F.when(F.col("__revised"), half).otherwise(F.col("text")))
+    op = lambda rows, name: rows.select(F.lit(name).alias("op"), *columns)
+    batches = [op(earlier.where(F.col("__part") == k), "insert") for k in range(parts)]
+    again = named.where("NOT __revised AND doc_id IS NOT NULL")
+    gone = again.withColumns({c: F.lit(None).cast(docs.schema[c].dataType) for c in columns[1:]})
+    batches.append(op(gone, "delete").unionByName(op(named.where("__revised"), "revise")))
+    return [*batches, op(again, "insert")]
+
+
 def totals_of(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, tokenizers: str = tokencount.FOLDER) -> DataFrame:
-    """Commit all documents as one batch, and once more as a retry would."""
+    """Commit the whole table by the batches of ``changes_of``, each once more as a
+    retry would; the totals are those of ``docs``."""
     spark = docs.sparkSession
     store = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}", versions, tokenizers)
-    for _ in range(2):
-        store.commit("documents", docs.withColumn("op", F.lit("insert")))
+    for k, changes in enumerate(changes_of(docs)):
+        for _ in range(2):
+            store.commit(f"documents-{k}", changes)
     return store.totals()

@@ -73,3 +73,18 @@ def test_whole_table_with_long_text_and_more_columns(spark):
     got = rows(rollup.totals_of(clashing(docs(spark, texts))))
     assert got == _totals([(i, f"src{i % 2}", "en", t) for i, t in enumerate(texts)])
     assert rollup.totals_of(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_the_whole_table_is_deleted_and_revised_over(spark, tmp_path):
+    texts = [f"some words {'and more ' * (i % 7)}{i}" for i in range(60)] + ["x y", "x y z", "null id", "null id", None, ""]
+    ids = [*range(60), 7, 7, None, None, 100, 101]
+    table = docs(spark, texts, ids)
+    ops = [{r["op"]: r["count"] for r in b.groupBy("op").count().collect()} for b in rollup.changes_of(table)]
+    assert all(set(x) == {"insert"} for x in ops[:-2]) and set(ops[-2]) == {"delete", "revise"} and len(ops) == rollup.PARTS + 2
+    assert sum(ops[-2].values()) == 64  # every row but those of no id
+    store = rollup.Rollup(spark, str(tmp_path / "roll"))
+    for k, b in enumerate(rollup.changes_of(table)):
+        assert store.commit(str(k), b)
+        assert not store.commit(str(k), b)
+    want = _totals([(d, f"src{i % 2}", "en", t) for i, (d, t) in enumerate(zip(ids, texts))])
+    assert rows(store.totals()) == want == rows(rollup.totals_of(table))
