@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -58,6 +59,10 @@ _STRUCTURED = re.compile(
 )
 _MARK = np.zeros(256, bool)
 _MARK[48:58] = _MARK[[ord(c) for c in "@=:"]] = True
+#: The first two bytes of the non-ASCII decimal digits, as one number, and their first bytes.
+_DIGIT = np.zeros(1 << 16, bool)
+_DIGIT[[b[0] << 8 | b[1] for b in (chr(c).encode() for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd")]] = True
+_DIGIT_LEAD = _DIGIT.reshape(256, 256).any(1)
 _LETTERISH = np.zeros(256, bool)
 _LETTERISH[65:91] = _LETTERISH[97:123] = _LETTERISH[48:58] = _LETTERISH[128:] = True
 _LETTERISH[[ord(c) for c in "_'-"]] = True
@@ -152,7 +157,7 @@ def find(text: str | None, marked: bool = True, paired: bool = True) -> list[tup
 
 def suspects(column: pa.Array) -> list[tuple[int, bool, bool]]:
     """(row, marked, paired) of the texts that may hold an entity: marked by a
-    digit, "@", "=" or ":", or with two words in a row that begin with a capital,
+    digit of any script, "@", "=" or ":", or with two words in a row that begin with a capital,
     only a blank between, or a full stop and a blank after one of five letters at
     most.  No other text holds one."""
     raw, off = textbytes.buffers(column)
@@ -163,6 +168,9 @@ def suspects(column: pa.Array) -> list[tuple[int, bool, bool]]:
             continue
         marked = np.zeros(b - a, bool)
         marked[np.searchsorted(po, np.flatnonzero(_MARK[part]), side="right") - 1] = True
+        lead = np.flatnonzero(_DIGIT_LEAD[part[:-1]])
+        lead = lead[_DIGIT[part[lead].astype(np.int64) << 8 | part[lead + 1]]]
+        marked[np.searchsorted(po, lead, side="right") - 1] = True
         inside = _LETTERISH[part]
         begin = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
         if inside[0]:
@@ -241,12 +249,13 @@ def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
             made[0] = [x for x in range(1, 224) if x not in (10, 127, 172, 192)][made[0] * 219 // 256]
         return ".".join(map(str, octets[:fixed] + made[fixed:]))
     if kind == "CARD":
-        body = "".join(str(s.below(10)) for _ in canon)
+        zero = [ord(c) - unicodedata.digit(c) for c in canon]
+        body = "".join(chr(z + s.below(10)) for z in zero)
         body = canon[0] + body[1:]
         if luhn(body) != luhn(canon):
             for d in range(10):
-                if luhn(body[:-1] + str(d)) == luhn(canon):
-                    return body[:-1] + str(d)
+                if luhn(body[:-1] + chr(zero[-1] + d)) == luhn(canon):
+                    return body[:-1] + chr(zero[-1] + d)
         return body
     if kind == "PHONE":
         made = _alike(canon, s)

@@ -101,3 +101,20 @@ def test_awkward_rows(spark):
     assert by[3].text.endswith(by[4].text) and by[4].text == by[None].text != "me@my.example.com" and by[3].n_chars == len(by[3].text)
     assert by[4].hi == "own hi"
     assert pii.rewrite(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_digits_of_any_script_are_marked():
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+
+    zeros = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd" and unicodedata.digit(chr(c)) == 0]
+    assert len(zeros) > 50
+    for zero in zeros:
+        for number in ("078-05-1120", "487 555 7209", "4111 1111 1111 1111"):
+            text = "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in f"x {number} y")
+            marked = {i: how for i, *how in pii.suspects(pa.array([text], pa.string()))}
+            assert 0 in marked and len(pii.find(text, *marked[0])) == 1, (zero, number)
+            got = _replaced(text)
+            assert got != text and all(c.isdecimal() == d.isdecimal() and (not c.isdecimal() or ord(c) - int(c) == ord(d) - int(d)) for c, d in zip(got, text, strict=True)), (text, got)
