@@ -27,11 +27,14 @@ ROLES = ("system", "user", "assistant")
 
 def from_turns(conversations: DataFrame) -> DataFrame:
     """Messages of a table conv_id, turn, role, text: each turn replies to the
-    turn before it in its conversation.  The score is the text's length."""
-    key = lambda n: F.concat_ws(":", F.col("conv_id").cast("string"), F.lpad(n.cast("string"), 9, "0"))
+    turn before it in its conversation.  Different rows of one turn are
+    alternatives: siblings, of which the one with the least role and text is
+    replied to; equal rows are one message.  The score is the text's length."""
+    key = lambda n, k: F.concat_ws(":", F.col("conv_id").cast("string"), n.cast("string"), k.cast("string"))
     before = F.max("turn").over(Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
     rows = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("__before", before)
-    return rows.select(F.col("conv_id").alias("tree_id"), key(F.col("turn")).alias("message_id"), F.when(F.col("__before").isNotNull(), key(F.col("__before"))).alias("parent_id"), "role", "text", F.char_length("text").cast("double").alias("score"))
+    rows = rows.withColumn("__which", F.dense_rank().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    return rows.select(F.col("conv_id").alias("tree_id"), key(F.col("turn"), F.col("__which")).alias("message_id"), F.when(F.col("__before").isNotNull(), key(F.col("__before"), F.lit(1))).alias("parent_id"), "role", "text", F.char_length("text").cast("double").alias("score"))
 
 
 def _nodes(messages: DataFrame) -> DataFrame:

@@ -79,3 +79,18 @@ def test_a_long_thread(spark):
     m = [(1, f"{i:04d}", f"{i - 1:04d}" if i else None, "user", "t" * 5000, 1.0) for i in range(30)]
     got = rows(chat.formatted(spark.createDataFrame(m, SCHEMA)))
     assert len(got) == 1 and got[0][3] == 30 and len(got[0][4]) > 150_000
+
+
+def test_alternatives_and_long_turn_numbers(spark):
+    t = 1_700_000_000
+    c = [
+        (1, 0, "user", "q"), (1, 1, "assistant", "a reply"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, 2, "user", "thanks"),
+        (2, t, "user", "one"), (2, t + 1, "assistant", "two"), (2, t + 9, "user", "three"),
+    ]
+    messages = chat.from_turns(spark.createDataFrame(c, "conv_id long, turn long, role string, text string"))
+    got = [(g[0], g[1], g[3], g[4].replace("<|end|>", "").split()) for g in rows(chat.formatted(messages))]
+    assert got == [
+        (1, 1, 3, ["<|user|>", "q", "<|assistant|>", "a", "reply", "<|user|>", "thanks"]),
+        (1, 2, 2, ["<|user|>", "q", "<|assistant|>", "b"]),
+        (2, 1, 3, ["<|user|>", "one", "<|assistant|>", "two", "<|user|>", "three"]),
+    ]
