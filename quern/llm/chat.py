@@ -6,17 +6,22 @@ thread of n messages takes 2 log2(n) of them.  Branches of a tree are ranked by
 their messages' mean score, and the best are each formatted as one conversation.
 Paths carry ids and scores only; texts are joined once, for the chosen branches.
 
+Ids are those of a tree: two trees may use the same ones.
+
 Defined cases: a message with a null id or whose ancestors never reach a root
-(orphans, cycles) is in no branch; repeated ids count once (the row with the
-least parent, role and text); a null score counts as 0, a null role as "user",
-a null text as ""; equal mean scores are ranked by longer path, then by the
-path's ids; an empty table gives no rows; other columns are not read; texts are
-formatted whole.  A marker's characters inside a text are escaped.
+(orphans, cycles) is in no branch; a null tree_id is a tree of its own; repeated
+ids of a tree count once (the row with the least parent, role, text and score); a
+null score counts as 0, a null role as "user", a null text as ""; equal mean
+scores are ranked by longer path, then by the path's ids; an empty table gives no
+rows; other columns are not read; texts are formatted whole.  A marker's
+characters inside a text are escaped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut
@@ -25,23 +30,44 @@ TOP = 2
 ROLES = ("system", "user", "assistant")
 
 
-def from_turns(conversations: DataFrame) -> DataFrame:
-    """Messages of a table conv_id, turn, role, text: each turn replies to the
-    turn before it in its conversation.  Different rows of one turn are
+def reply_before(k: Column) -> Column:
+    """The k-th turn of a conversation (from 0) replies to the one before it."""
+    return k - 1
+
+
+def reply_halfway(k: Column) -> Column:
+    """The k-th turn replies to the last turn up to k // 2 of the other side (sides
+    take turns): turn 0 has the replies 1 and 3, turn 1 has 2 and 4, ..., so that
+    conversations branch as those with regenerated replies do."""
+    half = F.floor(k / 2)
+    return half - F.when((k - half) % 2 == 0, 1).otherwise(0)
+
+
+def from_turns(conversations: DataFrame, replies_to: Callable[[Column], Column] = reply_before) -> DataFrame:
+    """Messages of a table conv_id, turn, role, text: ``replies_to`` says to which
+    turn of its conversation the k-th turn replies.  Different rows of one turn are
     alternatives: siblings, of which the one with the least role and text is
     replied to; equal rows are one message.  The score is the text's length."""
-    key = lambda n, k: F.concat_ws(":", F.col("conv_id").cast("string"), n.cast("string"), k.cast("string"))
-    before = F.max("turn").over(Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
-    rows = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("__before", before)
-    rows = rows.withColumn("__which", F.dense_rank().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    return rows.select(F.col("conv_id").alias("tree_id"), key(F.col("turn"), F.col("__which")).alias("message_id"), F.when(F.col("__before").isNotNull(), key(F.col("__before"), F.lit(1))).alias("parent_id"), "role", "text", F.char_length("text").cast("double").alias("score"))
+    rows = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(F.col("conv_id").alias("tree_id"), "turn", "role", "text")
+    which = F.md5(F.concat_ws("\0", F.coalesce("role", F.lit("\1")), F.coalesce("text", F.lit("\1")))).alias("which")
+    rows = rows.select("*", F.struct("turn", which).alias("message_id"))
+    # one narrow row a turn is what is numbered
+    turns = rows.groupBy("tree_id", "turn").agg(F.min(F.struct("role", "text", "message_id"))["message_id"].alias("first"))
+    turns = cut(turns.withColumn("k", F.row_number().over(Window.partitionBy("tree_id").orderBy("turn")) - 1))
+    named = turns.select("tree_id", F.col("k").alias("up"), F.col("first").alias("parent_id"))
+    parents = turns.select("tree_id", "turn", replies_to(F.col("k")).alias("up")).join(named, ["tree_id", "up"], "left").select("tree_id", "turn", "parent_id")
+    return rows.join(parents, ["tree_id", "turn"]).select("tree_id", "message_id", "parent_id", "role", "text", F.char_length("text").cast("double").alias("score"))
 
 
 def _nodes(messages: DataFrame) -> DataFrame:
-    """One row an id: the one with the least parent, role and text."""
-    order = Window.partitionBy("message_id").orderBy("parent_id", "role", "text")
-    named = messages.where("message_id IS NOT NULL").select("tree_id", "message_id", "parent_id", "role", "text", "score")
-    return named.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+    """One row an id of a tree: the one with the least parent, role, text and score."""
+    least = F.min(F.struct("parent_id", "role", "text", "score")).alias("m")
+    return messages.where("message_id IS NOT NULL").groupBy("tree_id", "message_id").agg(least).select("tree_id", "message_id", "m.*")
+
+
+def _same(tree: str, other: str, node: str, at: str) -> Column:
+    """Join condition: of one tree, null being one, and of one id."""
+    return F.col(tree).eqNullSafe(F.col(other)) & (F.col(node) == F.col(at))
 
 
 def branches(messages: DataFrame) -> DataFrame:
@@ -51,29 +77,32 @@ def branches(messages: DataFrame) -> DataFrame:
     ancestor.  From a leaf, the joins with these from the farthest to the nearest
     meet each ancestor once, as each distance is one sum of powers of two."""
     nodes = cut(_nodes(messages).select("tree_id", "message_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
-    above = nodes.select(F.col("message_id").alias("anc"), F.col("score").alias("anc_score"))
-    step = nodes.where("parent_id IS NOT NULL").select(F.col("message_id").alias("node"), F.col("parent_id").alias("up"))
-    jumps = [cut(step.join(above, F.col("up") == F.col("anc")).select("node", "anc", "anc_score"))]
+    there = nodes.select(F.col("tree_id").alias("t"), F.col("message_id").alias("anc"))
+    step = nodes.where("parent_id IS NOT NULL").select("tree_id", F.col("message_id").alias("node"), F.col("parent_id").alias("up"))
+    jumps = [cut(step.join(there, _same("tree_id", "t", "up", "anc"), "left_semi").select("tree_id", "node", F.col("up").alias("anc")))]
     total, reach = nodes.count(), 1
     while reach < total and not jumps[-1].isEmpty():
-        far = jumps[-1].select(F.col("node").alias("up"), F.col("anc").alias("far"), F.col("anc_score").alias("far_score"))
-        jumps.append(cut(jumps[-1].join(far, F.col("anc") == F.col("up")).select("node", F.col("far").alias("anc"), F.col("far_score").alias("anc_score"))))
+        far = jumps[-1].select(F.col("tree_id").alias("t"), F.col("node").alias("up"), F.col("anc").alias("far"))
+        jumps.append(cut(jumps[-1].join(far, _same("tree_id", "t", "anc", "up")).select("tree_id", "node", F.col("far").alias("anc"))))
         reach *= 2
-    replied = jumps[0].select(F.col("anc").alias("__has_reply")).distinct()
-    leaves = nodes.join(replied, F.col("message_id") == F.col("__has_reply"), "left_anti")
+    replied = jumps[0].select(F.col("tree_id").alias("t"), F.col("anc").alias("up")).distinct()
+    leaves = nodes.join(replied, _same("tree_id", "t", "message_id", "up"), "left_anti")
     # an ancestor as far away as there are messages: the chain runs into a cycle
     if reach >= total:
-        endless = jumps.pop().select(F.col("node").alias("__endless"))
-        leaves = leaves.join(endless, F.col("message_id") == F.col("__endless"), "left_anti")
-    met = leaves.select(F.col("message_id").alias("leaf"), F.col("message_id").alias("at"), F.lit(0).alias("back"), "score")
+        endless = jumps.pop().select(F.col("tree_id").alias("t"), F.col("node").alias("up"))
+        leaves = leaves.join(endless, _same("tree_id", "t", "message_id", "up"), "left_anti")
+    met = leaves.select("tree_id", F.col("message_id").alias("leaf"), F.col("message_id").alias("at"), F.lit(0).alias("back"))
     for k in range(len(jumps) - 1, -1, -1):
-        more = met.join(jumps[k], F.col("at") == F.col("node")).select("leaf", F.col("anc").alias("at"), (F.col("back") + (1 << k)).alias("back"), F.col("anc_score").alias("score"))
+        jump = jumps[k].select(F.col("tree_id").alias("t"), "node", "anc")
+        more = met.join(jump, _same("tree_id", "t", "at", "node")).select("tree_id", "leaf", F.col("anc").alias("at"), (F.col("back") + (1 << k)).alias("back"))
         met = cut(met.unionByName(more))
+    scored = met.join(nodes.select(F.col("tree_id").alias("t"), "message_id", "parent_id", "score"), _same("tree_id", "t", "at", "message_id"))
     steps = F.sort_array(F.collect_list(F.struct("back", "at", "score")), asc=False)
-    paths = met.groupBy("leaf").agg(steps.alias("s")).select(F.col("s.at").alias("path"), F.aggregate("s.score", F.lit(0.0), lambda a, x: a + x).alias("total"))
-    roots = nodes.where("parent_id IS NULL").select("tree_id", F.col("message_id").alias("__root"))
-    whole = paths.join(roots, F.get("path", F.lit(0)) == F.col("__root"))
-    return whole.select("tree_id", "path", F.round(F.col("total") / F.size("path"), 6).alias("score"))
+    # the farthest message met must be a root
+    rooted = F.max(F.struct("back", F.col("parent_id").isNull().alias("root")))["root"]
+    paths = scored.groupBy("tree_id", "leaf").agg(steps.alias("s"), rooted.alias("rooted")).where("rooted")
+    total_score = F.aggregate("s.score", F.lit(0.0), lambda a, x: a + x)
+    return paths.select("tree_id", F.col("s.at").alias("path"), F.round(total_score / F.size("s"), 6).alias("score"))
 
 
 def formatted(messages: DataFrame, top: int = TOP) -> DataFrame:
@@ -81,10 +110,10 @@ def formatted(messages: DataFrame, top: int = TOP) -> DataFrame:
     branches of each tree as text."""
     ranked = branches(messages).withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), F.desc(F.size("path")), "path"))).where(F.col("branch_rank") <= top)
     ranked = cut(ranked)
-    body = _nodes(messages).select(F.col("message_id").alias("m"), "role", "text")
+    body = _nodes(messages).select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), "role", "text")
     role = F.when(F.lower(F.trim("role")).isin(*ROLES), F.lower(F.trim("role"))).otherwise("user")
     turn = F.concat(F.lit("<|"), role, F.lit("|>\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<\\|")), F.lit("\n<|end|>"))
     steps = ranked.select("tree_id", "branch_rank", "score", F.posexplode("path").alias("i", "message_id"))
-    joined = steps.join(body, F.col("message_id") == F.col("m")).select("tree_id", "branch_rank", "score", F.struct("i", turn.alias("t")).alias("x"))
+    joined = steps.join(body, _same("tree_id", "t", "message_id", "m")).select("tree_id", "branch_rank", "score", F.struct("i", turn.alias("t")).alias("x"))
     lists = joined.groupBy("tree_id", "branch_rank", "score").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     return lists.select("tree_id", F.col("branch_rank").cast("int").alias("branch_rank"), "score", F.size("xs").alias("n_messages"), F.array_join(F.col("xs.t"), "\n").alias("conversation"))

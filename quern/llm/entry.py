@@ -12,7 +12,8 @@ from quern.llm.common import table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.formatted(chat.from_turns(table(spark, sf_dir, "conversations"))).withColumn("n_messages", F.col("n_messages").cast("long"))
+    messages = chat.from_turns(table(spark, sf_dir, "conversations"), chat.reply_halfway)
+    return chat.formatted(messages).withColumn("n_messages", F.col("n_messages").cast("long"))
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +60,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
-#: Each turn replies to the one before, so a conversation is its only branch.
+#: The k-th turn replies to the last one up to k // 2 of the other side.
 OP1_SQL = """
-SELECT conv_id AS tree_id, 1 AS branch_rank, round(avg(length(text)), 6) AS score, count(*) AS n_messages,
-  string_agg('<|' || role || '|>' || chr(10) || replace(text, '<|', '<\\|') || chr(10) || '<|end|>', chr(10) ORDER BY turn) AS conversation
-FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id
+WITH RECURSIVE c AS (SELECT DISTINCT conv_id AS tree_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY tree_id ORDER BY turn) - 1 AS k, row_number() OVER (PARTITION BY tree_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS alt FROM c),
+m AS (SELECT tree_id, k, alt, {'turn': turn, 'which': md5(coalesce(role, chr(1)) || chr(0) || coalesce(text, chr(1)))} AS id, k // 2 - CASE WHEN (k - k // 2) % 2 = 0 THEN 1 ELSE 0 END AS up, coalesce(length(text), 0) AS score,
+  '<|' || CASE WHEN lower(trim(role)) IN ('system', 'user', 'assistant') THEN lower(trim(role)) ELSE 'user' END || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<\|') || chr(10) || '<|end|>' AS turned FROM n),
+w AS (SELECT tree_id, k, alt, [id] AS path, score AS total, turned AS conversation FROM m WHERE k = 0
+  UNION ALL SELECT m.tree_id, m.k, m.alt, list_append(w.path, m.id), w.total + m.score, w.conversation || chr(10) || m.turned FROM w JOIN m ON m.tree_id = w.tree_id AND m.up = w.k AND w.alt = 1),
+l AS (SELECT * FROM w WHERE alt > 1 OR NOT EXISTS (SELECT 1 FROM m WHERE m.tree_id = w.tree_id AND m.up = w.k)),
+r AS (SELECT tree_id, round(total / len(path), 6) AS score, len(path) AS n_messages, conversation, path FROM l)
+SELECT tree_id, CAST(branch_rank AS INT) AS branch_rank, score, n_messages, conversation
+FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY score DESC, n_messages DESC, path) AS branch_rank FROM r) WHERE branch_rank <= 2
 """
 
 #: What the frames must show, from the values that were drawn.

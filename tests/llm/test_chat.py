@@ -94,3 +94,21 @@ def test_alternatives_and_long_turn_numbers(spark):
         (1, 2, 2, ["<|user|>", "q", "<|assistant|>", "b"]),
         (2, 1, 3, ["<|user|>", "one", "<|assistant|>", "two", "<|user|>", "three"]),
     ]
+
+
+def test_trees_may_use_the_same_ids(spark):
+    m = [(t, "a", None, "user", f"q{t}", 1.0) for t in (1, 2, None)] + [(t, "b", "a", "assistant", f"r{t}", 1.0) for t in (1, 2, None)]
+    got = rows(chat.formatted(spark.createDataFrame(m, SCHEMA)))
+    assert sorted((g[0], g[3], g[4].split()[1]) for g in got if g[0]) == [(1, 2, "q1"), (2, 2, "q2")] and [g[4].split()[1] for g in got if g[0] is None] == ["qNone"]
+
+
+def test_the_least_score_of_a_repeated_id_counts(spark):
+    m = [(1, "a", None, "user", "x", s) for s in (5.0, 2.0, 9.0)]
+    assert [g[2] for g in rows(chat.formatted(spark.createDataFrame(m, SCHEMA)))] == [2.0]
+
+
+def test_halfway_replies_branch(spark):
+    c = [(1, 10 * k, ("user", "assistant")[k % 2], f"t{k} " + "x" * k) for k in range(8)]
+    messages = chat.from_turns(spark.createDataFrame(c, "conv_id long, turn long, role string, text string"), chat.reply_halfway)
+    got = [([p["turn"] // 10 for p in r.path]) for r in chat.branches(messages).collect()]
+    assert sorted(got) == [[0, 1, 2, 5], [0, 1, 2, 7], [0, 1, 4], [0, 3, 6]]
