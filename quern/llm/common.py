@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch on its way to Python.
 BATCH_BYTES = 8 << 20
+#: Bytes of a table that goes to every executor.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,15 +80,11 @@ def map_rows(df: DataFrame, schema: T.StructType | str, f: Callable[[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def small(df: DataFrame, rows: int) -> list | None:
-    """The rows if there are ``rows`` at most, else None: the check before a broadcast."""
-    got = df.limit(rows + 1).collect()
-    return got if len(got) <= rows else None
-
-
-def hinted(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint behind a count; beyond it Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def hinted(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint behind a check of the bytes of a written table; beyond
+    ``size`` Spark joins by shuffle."""
+    wide = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(wide.cast("long")), F.lit(0))).first()[0] <= size else df
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -97,12 +95,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, ids: DataFrame, rows: int = 2_000_000) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` whose doc_id is not in ``ids``, an id column named anything; rows
     with a null doc_id stay."""
     name = fresh(docs, "__bad_id")
-    bad = ids.select(F.col(ids.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct()
-    return docs.join(hinted(bad, rows), docs["doc_id"] == F.col(name), "left_anti")
+    bad = cut(ids.select(F.col(ids.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct())
+    return docs.join(hinted(bad), docs["doc_id"] == F.col(name), "left_anti")
 
 
 def id_type(docs: DataFrame) -> T.DataType:

@@ -184,8 +184,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def _joined(docs: DataFrame, items: DataFrame, threshold: float, recall: float, width: int) -> DataFrame:
     """The way for many items: sketches are joined, candidates verified by join."""
-    rank = F.udf(lambda n: item_class(n), "int")
-    sized = cut(items.withColumn("n", F.size("h")).withColumn("cls", rank("n")).withColumn("item_no", F.monotonically_increasing_id()))
+    # item_class: the number of binary digits less 3
+    rank = F.greatest(F.lit(0), F.length(F.bin("n")) - 3)
+    sized = cut(items.withColumn("n", F.size("h")).withColumn("cls", rank).withColumn("item_no", F.monotonically_increasing_id()))
     classes = [r[0] for r in sized.select("cls").distinct().collect()]  # at most one a doubling of an item's length
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("doc_no", T.LongType()), T.StructField("cls", T.IntegerType()), T.StructField("v", T.LongType())])
 

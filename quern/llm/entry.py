@@ -65,7 +65,7 @@ OP1_SQL = """
 WITH RECURSIVE c AS (SELECT DISTINCT conv_id AS tree_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 n AS (SELECT *, dense_rank() OVER (PARTITION BY tree_id ORDER BY turn) - 1 AS k, row_number() OVER (PARTITION BY tree_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS alt FROM c),
 m AS (SELECT tree_id, k, alt, {'turn': turn, 'which': md5(coalesce(role, chr(1)) || chr(0) || coalesce(text, chr(1)))} AS id, k // 2 - CASE WHEN (k - k // 2) % 2 = 0 THEN 1 ELSE 0 END AS up, coalesce(length(text), 0) AS score,
-  '<|' || CASE WHEN lower(trim(role)) IN ('system', 'user', 'assistant') THEN lower(trim(role)) ELSE 'user' END || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<\|') || chr(10) || '<|end|>' AS turned FROM n),
+  '<|' || CASE WHEN lower(trim(role)) IN ('system', 'user', 'assistant') THEN lower(trim(role)) ELSE 'user' END || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<\\|') || chr(10) || '<|end|>' AS turned FROM n),
 w AS (SELECT tree_id, k, alt, [id] AS path, score AS total, turned AS conversation FROM m WHERE k = 0
   UNION ALL SELECT m.tree_id, m.k, m.alt, list_append(w.path, m.id), w.total + m.score, w.conversation || chr(10) || m.turned FROM w JOIN m ON m.tree_id = w.tree_id AND m.up = w.k AND w.alt = 1),
 l AS (SELECT * FROM w WHERE alt > 1 OR NOT EXISTS (SELECT 1 FROM m WHERE m.tree_id = w.tree_id AND m.up = w.k)),
@@ -88,8 +88,8 @@ FROM f
 
 #: Exact containment, by brute force over all shingles.
 OP8_SQL = """
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS w FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
 bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM b WHERE len(w) > 0)),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)

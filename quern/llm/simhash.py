@@ -203,7 +203,7 @@ def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     again = cut(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key))
     if again.isEmpty():
         return left
-    few = hinted(again, 2_000_000)
+    few = hinted(again)
     once = left.join(few, left["doc_id"] == F.col(key), "left_anti")
     many = left.join(few, left["doc_id"] == F.col(key), "left_semi")
     order = [F.struct(F.coalesce("text", F.lit("")), *[F.col(c).cast("string") for c in docs.columns if c != "text"])]

@@ -1,16 +1,19 @@
 """Vectorised text kernels over Arrow string buffers.
 
 Every kernel works on the UTF-8 bytes of a whole column slice at once, so no
-Python object is made per row or per word.  A *word* is a maximal run of ASCII
-letters, ASCII digits and non-ASCII bytes, after lower-casing ASCII and the
-two-byte Latin-1 letters; everything else separates.  Null texts count as
-empty.  All hashes are fixed functions of the bytes: they are the same in any
-process, on any machine and for any batching.
+Python object is made per row or per word.  A *word* is a maximal run of letters,
+marks and numbers (Unicode's L, M, N), lower-cased; everything else separates,
+typographic quotes and dashes too.  Lower-casing keeps the number of bytes; the
+few letters whose lower case has another (such as U+0130 and U+1E9E) stay as they
+are.  Null texts count as empty.  All hashes are fixed functions of the bytes:
+they are the same in any process, on any machine and for any batching.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,34 +72,94 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = to
 
 
+@cache
+def _tables() -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For characters of two, three and four bytes (those of planes 0 and 1): their
+    lower case and whether they are of words, by code point; and of each first byte
+    whether some character that it begins has a lower case."""
+    lower, word, cased = [], [], []
+    for size, (first, last) in zip((2, 3, 4), ((0x80, 0x800), (0x800, 0x10000), (0x10000, 0x20000))):
+        to, own, lead = np.arange(last, dtype=np.int64), np.ones(last, bool), np.zeros(256, bool)
+        for c in range(first, last):
+            if 0xD800 <= c < 0xE000:
+                continue
+            x = chr(c)
+            own[c] = unicodedata.category(x)[0] in "LMN"
+            low = x.lower()
+            if low != x and len(low) == 1 and len(low.encode()) == size:
+                to[c] = ord(low)
+                lead[x.encode()[0]] = True
+        lower.append(to)
+        word.append(own)
+        cased.append(lead)
+    return lower, word, cased
+
+
+_LEADS = ((0xC2, 0xE0), (0xE0, 0xF0), (0xF0, 0xF5))
+
+
+def _points(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose characters of ``size`` bytes are whole, and their code points."""
+    at = at[at <= len(raw) - size]
+    point = raw[at].astype(np.int64) & (0x7F >> size)
+    for k in range(1, size):
+        point = point << 6 | raw[at + k] & 63
+    return at, point
+
+
 def lowered(raw: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and of U+00C0..U+00DE (but U+00D7), in place of length."""
+    """Lower case, in place of length."""
     low = _LOWER[raw]
-    if len(raw) > 1:
-        second = raw[1:]
-        hit = (raw[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
-        low[1:][hit] += 32
+    lead = np.flatnonzero(raw >= 0xC3)
+    if len(lead) == 0:
+        return low
+    first = raw[lead]
+    lower, _, cased = _tables()
+    for size, to, some in zip((2, 3, 4), lower, cased):
+        at, point = _points(raw, lead[some[first]], size)
+        ok = point < len(to)
+        new = to[point[ok]]
+        moved = new != point[ok]
+        at, new = at[ok][moved], new[moved]
+        for k in range(size - 1, 0, -1):
+            low[at + k] = 128 | new & 63
+            new = new >> 6
+        low[at] = (0xF00 >> size & 0xFF) | new
     return low
 
 
+def inside(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are of words."""
+    own = _IS_WORD[raw]
+    lead = np.flatnonzero(raw >= 0xC2)
+    if len(lead):
+        first = raw[lead]
+        for size, (a, b), word in zip((2, 3, 4), _LEADS, _tables()[1]):
+            at, point = _points(raw, lead[(first >= a) & (first < b)], size)
+            at = at[~word[np.minimum(point, len(word) - 1)] & (point < len(word))]
+            for k in range(size):
+                own[at + k] = False
+    return own
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first word of each row); words never cross rows."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = _IS_WORD[raw]
+    own = inside(raw)
     before = np.empty(n, bool)
     before[0] = False
-    before[1:] = inside[:-1]
+    before[1:] = own[:-1]
     cuts = offsets[1:-1]
     before[cuts[cuts < n]] = False
-    starts = np.flatnonzero(inside & ~before)
+    starts = np.flatnonzero(own & ~before)
     after = np.empty(n, bool)
     after[-1] = False
-    after[:-1] = inside[1:]
+    after[:-1] = own[1:]
     ends_at = cuts[(cuts > 0)] - 1
     after[ends_at] = False
-    ends = np.flatnonzero(inside & ~after) + 1
+    ends = np.flatnonzero(own & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
-import re
+
+import regex
 
 from quern.llm import decontam
 from tests.llm.helpers import clashing, docs, rows
 
-WORD = re.compile(r"(?:[a-z0-9]|[^\x00-\x7f])+")
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
 def _shingles(text: str | None) -> set[tuple[str, ...]]:
@@ -92,3 +93,12 @@ def test_short_items_in_a_long_document(spark):
     item = "seven short words make this test item"
     body[150_000:150_000] = item.split()
     assert rows(decontam.contaminated(docs(spark, [" ".join(body)]), _items(spark, [item]))) == [(0, 0, 1.0, 3)]
+
+
+def test_case_and_typographic_marks_do_not_hide_an_item(spark):
+    items = ["съешь ещё этих мягких французских булок да выпей", "the quick brown fox jumps over the lazy dog"]
+    texts = ["Так: СЪЕШЬ ЕЩЁ ЭТИХ МЯГКИХ ФРАНЦУЗСКИХ БУЛОК ДА ВЫПЕЙ!", "He said “The quick—brown fox jumps over the lazy dog…” and left", "Σήμερα nothing of that"]
+    for limit in (decontam.BROADCAST_SHINGLES, 0):
+        got = rows(decontam.contaminated(docs(spark, texts), _items(spark, items), broadcast_shingles=limit))
+        assert got == [(0, 0, 1.0, 4), (1, 1, 1.0, 5)]
+        assert [r.doc_id for r in decontam.drop(docs(spark, texts), _items(spark, items), broadcast_shingles=limit).collect()] == [2]
