@@ -1,7 +1,9 @@
 """Language ID by cross-parsing entropy.
 
-For each language a suffix automaton is built of a bounded sample of labelled
-text.  A document is parsed into longest phrases that occur in that sample
+For each language a suffix automaton is built of a bounded sample of its labelled
+text: of ``SAMPLE_ROWS`` distinct rows at most, of any length, a slice of
+``ROW_CHARS`` characters each, ``SAMPLE_BYTES`` in all (less if more than 15
+languages share the table).  A document is parsed into longest phrases that occur in that sample
 (Ziv-Merhav cross-parsing): walking the automaton from its root, a phrase ends
 where no transition exists.  With c phrases over N symbols and a sample of n
 symbols the cross-entropy estimate is c*log2(n)/N bits a symbol; the language
@@ -9,14 +11,16 @@ that needs the fewest normalised phrases wins.  A document is rejected if it
 has no letters, or if its best estimate is above ``reject_ratio`` times what
 held-out labelled rows of that language need.
 
-Texts are read as bytes: lower-cased, each run of non-letters as one space.
+Texts are read as bytes: lower-cased, each run of what is neither letter, mark nor
+number above U+007F as one space.
 Whole texts are parsed, in segments of 512 symbols that each start a phrase.
 
 Defined cases: a null or empty text, or one without letters, has lang_pred null,
 bits null and is rejected; ties go to the alphabetically first language; rows
-are independent, so repeated rows get the same verdict; no labelled rows at all
-leaves every row unpredicted but not rejected; other columns are not read.
-Texts under ``min_symbols`` symbols are never rejected for their bits.
+are independent, so repeated rows get the same verdict and are one row of the
+sample; a blank label is none, a label of which no row has a letter is no
+language; no labelled rows at all leaves every row unpredicted but not rejected;
+more than ``MAX_LANGS`` labels are an error; other columns are not read.  Texts under ``min_symbols`` symbols are never rejected for their bits.
 """
 
 from __future__ import annotations
@@ -34,10 +38,11 @@ from quern.llm import lockstep, textbytes
 from quern.llm.common import id_type, map_rows
 
 SAMPLE_BYTES = 32_768
-#: Labelled rows longer than this are not taken as training text.
-SAMPLE_ROW_BYTES = 4_096
-SAMPLE_ROWS = 128
-SLICES = 256
+SAMPLE_ROWS = 256
+ROW_CHARS = 1_024
+#: Rows that pass the first choice, for each one wanted.
+SPARE = 8
+MAX_LANGS = 256
 REJECT_RATIO = 2.4
 MIN_SYMBOLS = 24
 TABLE_BYTES = 256 << 20
@@ -54,6 +59,7 @@ def normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if n == 0:
         return raw, np.zeros(len(offsets), np.int64)
     x = _CLASS[textbytes.lowered(raw)]
+    x[~textbytes.inside(raw)] = 32
     letter = x != 32
     keep = letter.copy()
     # a space is kept if a letter stands before it in its row, and one follows
@@ -162,21 +168,57 @@ def _texts(texts: list[str]) -> bytes:
     return b" ".join(data[a:b] for a, b in zip(offsets[:-1], offsets[1:]) if b > a)
 
 
-def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_rows: int = SAMPLE_ROWS) -> tuple[tuple[tuple[str, bytes], ...], tuple[float, ...]]:
+def chosen(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS) -> dict[str, list[str]]:
+    """Slices of the ``sample_rows`` distinct labelled rows of each language with the
+    least hashes, in their order.
+
+    Languages are sized by counting distinct hashes approximately; of a language
+    only rows pass whose hash is in the share that holds ``SPARE`` times as many as
+    are wanted, so what is gathered is bounded and repeats fold where they are."""
+    text = F.col("text")
+    rows = docs.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), text, F.lit(7)).alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & (F.trim("lang") != "") & text.rlike(r"\p{L}"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGS + 1).collect()
+    if not sizes:
+        return {}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    edges = [(r.lang, min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, SPARE * sample_rows / max(1, r.n))))) for r in sizes]
+    edge = F.element_at(F.create_map(*[F.lit(x) for e in edges for x in e]), F.col("lang"))
+    begin = F.lit(1) + F.pmod("h", F.greatest(F.lit(1), F.char_length(text) - row_chars + 1).cast("long")).cast("int")
+    some = rows.where(F.col("h") <= edge).select("lang", "h", F.substring(text, begin, F.lit(row_chars)).alias("part")).groupBy("lang", "h").agg(F.min("part").alias("part"))
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_rows)
+    by: dict[str, list[str]] = {}
+    for lang, part, _ in sorted(some.select("lang", "part", "r").collect(), key=lambda x: (x[0], x[2])):
+        by.setdefault(lang, []).append(part)
+    return by
+
+
+def cleaned(by: dict[str, list[str]], sample_bytes: int) -> dict[str, list[str]]:
+    """The samples without rows that are unlike the rest of their language, as
+    wrongly labelled ones are: each half is parsed with the other, and rows that need
+    over ``REJECT_RATIO`` times the median bits go."""
+    out: dict[str, list[str]] = {}
+    for lang, rows in by.items():
+        bits = np.zeros(len(rows))
+        for k in (0, 1):
+            m = Model(((lang, _texts(rows[1 - k :: 2])[:sample_bytes]),))
+            raw, off = textbytes.buffers(pa.array(rows[k::2], pa.string()))
+            symbols, offsets = normal(raw, off)
+            size = np.diff(offsets)
+            bits[k::2] = np.where(size >= MIN_SYMBOLS, m.phrases(symbols, offsets)[0] * np.log2(m.sizes[0]) / np.maximum(1, size), 0)
+        usual = np.median(bits[bits > 0]) if (bits > 0).any() else 0
+        out[lang] = [row for row, b in zip(rows, bits) if b <= REJECT_RATIO * usual or b == 0] if len(rows) > 2 else rows
+    return out
+
+
+def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS) -> tuple[tuple[tuple[str, bytes], ...], tuple[float, ...]]:
     """(samples, held-out bits) per language from rows with a label.
 
-    The bounded sample is the ``sample_rows`` labelled rows of a language with
-    the least hashes; every second one is held out to set the usual bits."""
-    size = F.octet_length("text")
-    named = docs.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h"), size.alias("size"))
-    named = named.where(F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("size").between(80, SAMPLE_ROW_BYTES))
-    # least of each slice first, so that no task sorts what all tasks hand on of a language
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "text"))
-    some = named.withColumn("slice", F.pmod("h", F.lit(SLICES))).withColumn("r", rank("lang", "slice")).where(F.col("r") <= sample_rows)
-    chosen = some.withColumn("r", rank("lang")).where(F.col("r") <= sample_rows)
-    by: dict[str, list[str]] = {}
-    for lang, text, _ in sorted(chosen.select("lang", "text", "r").collect(), key=lambda x: (x[0], x[2])):
-        by.setdefault(lang, []).append(text)
+    Every second row of the sample is held out to set the usual bits."""
+    by = chosen(docs, sample_rows, row_chars)
+    sample_bytes = min(sample_bytes, TABLE_BYTES // (512 * max(1, len(by))))
+    by = cleaned(by, sample_bytes)
     samples, held = [], {}
     for lang in sorted(by):
         mine = by[lang]
@@ -184,8 +226,6 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_rows: int =
         if text:
             samples.append((lang, text))
             held[lang] = mine[1::2] or mine
-    if sum(2 * len(v) for _, v in samples) * 4 * 64 > TABLE_BYTES:
-        raise ValueError("too many languages for sample_bytes: lower it")
     m = model(tuple(samples))
     usual = []
     for i, (lang, text) in enumerate(samples):
@@ -218,9 +258,9 @@ def score(column: pa.Array, samples: tuple, usual: tuple, reject_ratio: float, m
     return [m.langs[i] if i >= 0 else None for i in best], bits, size, rejected
 
 
-def identify(docs: DataFrame, reject_ratio: float = REJECT_RATIO, min_symbols: int = MIN_SYMBOLS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def identify(docs: DataFrame, reject_ratio: float = REJECT_RATIO, min_symbols: int = MIN_SYMBOLS, sample_bytes: int = SAMPLE_BYTES, sample_rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS) -> DataFrame:
     """doc_id, lang_pred, bits, n_symbols, rejected of every row."""
-    samples, usual = train(docs, sample_bytes)
+    samples, usual = train(docs, sample_bytes, sample_rows, row_chars)
     schema = T.StructType([T.StructField("doc_id", id_type(docs)), T.StructField("lang_pred", T.StringType()), T.StructField("bits", T.DoubleType()), T.StructField("n_symbols", T.LongType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -233,9 +273,9 @@ def identify(docs: DataFrame, reject_ratio: float = REJECT_RATIO, min_symbols: i
     return map_rows(docs.select("doc_id", "text"), schema, run)
 
 
-def keep_identified(docs: DataFrame, reject_ratio: float = REJECT_RATIO, min_symbols: int = MIN_SYMBOLS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def keep_identified(docs: DataFrame, reject_ratio: float = REJECT_RATIO, min_symbols: int = MIN_SYMBOLS, sample_bytes: int = SAMPLE_BYTES, sample_rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
-    samples, usual = train(docs, sample_bytes)
+    samples, usual = train(docs, sample_bytes, sample_rows, row_chars)
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -97,3 +97,33 @@ def test_repeats_long_texts_and_no_labels(spark):
     bare = rows(langid.identify(docs(spark, ["some text that has no label at all"], langs=[None])))
     assert bare[0][1] is None and bare[0][4] is False
     assert langid.identify(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_a_language_of_long_or_short_rows_has_a_model(spark):
+    r = random.Random(9)
+    long = [_text(r, "xx", 4_000) for _ in range(8)]
+    short = [_text(r, "yy", 2) for _ in range(120)]
+    both = [_text(r, "zz", 60) for _ in range(30)]
+    langs = ["xx"] * 8 + ["yy"] * 120 + ["zz"] * 30
+    table = docs(spark, [*long, *short, *both], langs=langs)
+    got = {x.doc_id: x for x in langid.identify(table).collect()}
+    assert not any(x.rejected for x in got.values())
+    assert all(got[i].lang_pred == langs[i] for i in range(8))
+    assert np.mean([got[i].lang_pred == langs[i] for i in range(158)]) > 0.95
+
+
+def test_the_sample_is_bounded_and_repeats_are_one_row(spark):
+    r = random.Random(10)
+    texts = [_text(r, "xx", 30) for _ in range(400)] + ["ba ri tol " * 5] * 900
+    table = docs(spark, texts, [*range(400), *[1000] * 900], langs=["xx"] * 1300)
+    got = langid.chosen(table, 50, 40)
+    assert len(got["xx"]) == 50 and all(len(x) <= 40 for x in got["xx"]) and len(set(got["xx"])) == 50
+    assert got == langid.chosen(table.repartition(5), 50, 40)
+    every = langid.chosen(table, 10_000)["xx"]
+    assert sorted(every) == sorted(set(texts))
+
+
+def test_typographic_marks_are_no_letters():
+    raw, off = textbytes.buffers(pa.array(["“Ära” — ÉTÉ…ЯБЛОКО", "—"]))
+    symbols, offsets = langid.normal(raw, off)
+    assert bytes(symbols[: offsets[1]]).decode() == "ära été яблоко" and offsets[2] == offsets[1]
