@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import rollup, tokencount
 from tests.llm.helpers import clashing, docs, rows
@@ -88,3 +89,27 @@ def test_the_whole_table_is_deleted_and_revised_over(spark, tmp_path):
         assert not store.commit(str(k), b)
     want = _totals([(d, f"src{i % 2}", "en", t) for i, (d, t) in enumerate(zip(ids, texts))])
     assert rows(store.totals()) == want == rows(rollup.totals_of(table))
+
+
+def test_a_revision_of_a_deleted_document_changes_nothing(spark, tmp_path):
+    store = rollup.Rollup(spark, str(tmp_path / "roll"))
+    store.commit("a", spark.createDataFrame([("insert", 1, "s", "en", "one two"), ("insert", 2, "s", "en", "three")], CHANGE))
+    store.commit("b", spark.createDataFrame([("delete", 1, None, None, None)], CHANGE))
+    store.commit("c", spark.createDataFrame([("revise", 1, "s", "en", "one two three four"), ("delete", 1, None, None, None)], CHANGE))
+    assert rows(store.totals()) == _totals([(2, "s", "en", "three")])
+    store.commit("d", spark.createDataFrame([("insert", 1, "s", "en", "back")], CHANGE))
+    store.commit("e", spark.createDataFrame([("revise", 1, "t", "de", "again")], CHANGE))
+    assert rows(store.totals()) == _totals([(2, "s", "en", "three"), (1, "t", "de", "again")])
+    small = store.compact()
+    assert small.count() == 2 * len(rollup.VERSIONS)
+    assert rows(small.groupBy(*rollup.GROUP).agg(*[F.sum(c) for c in rollup.MEASURES])) == rows(store.totals())
+
+
+def test_of_two_commits_of_one_id_one_is_applied(spark, tmp_path):
+    folder = str(tmp_path / "roll")
+    one, two = rollup.Rollup(spark, folder), rollup.Rollup(spark, folder)
+    change = rollup.counted(docs(spark, ["a b"]))
+    assert one._commit("x", change)  # both have seen that it was not there
+    assert not two._commit("x", change)
+    assert one.batches() == ["x"] and rows(one.totals()) == _totals([(0, "src0", "en", "a b")])
+    assert not list((tmp_path / "roll" / "staged").iterdir()) and {p.name for p in (tmp_path / "roll" / "batches" / "x").iterdir() if p.is_dir()} == {"deltas", "sums"}
