@@ -11,8 +11,9 @@ number of documents, and the plan is exact for all of them at once:
    holds them (best fit), and to a new one if none does.
 
 The plan is a list of runs: pieces of one length, by rank, to a range of
-sequences.  Ranks come from (length, salt) windows plus the counts before, so
-no task sorts all pieces of a common length.  Results do not depend on how the
+sequences.  Ranks come from (length, salt) windows plus the counts before; a length
+has as many salts as its pieces need (``SALT_ROWS`` each), so that no task sorts all
+pieces of a common length, however many there are.  Results do not depend on how the
 table is partitioned.
 
 Defined cases: rows of length 0 or null (null and empty texts) are not packed; a
@@ -37,7 +38,7 @@ from quern.llm.common import cut, id_type, map_rows
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
-SALTS = 32
+SALT_ROWS = 200_000
 
 #: (length, first rank, pieces, first bin, pieces a bin, offset in the bin)
 Run = tuple[int, int, int, int, int, int]
@@ -129,21 +130,27 @@ def lengths(docs: DataFrame, folder: str = tokencount.FOLDER, vocabulary: str =
     return map_rows(docs.select("doc_id", "text"), schema, run)
 
 
-def pack(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
     """(bin_id, bin_offset, doc_id, piece, start, n_tokens) of a table doc_id, n."""
     whole = F.floor(F.col("n") / F.lit(capacity))
     rest = F.col("n") % capacity
     cuts = F.sequence(F.lit(0).cast("long"), whole - F.when(rest == 0, 1).otherwise(0))
     pieces = sized.where("n > 0").select("doc_id", "n", F.explode(cuts).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("size"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece"), F.lit(SALTS)).alias("salt"))
-    pieces = cut(pieces)
-    # at most capacity * SALTS rows, whatever the number of documents
-    counted = sorted(tuple(r) for r in pieces.groupBy("size", "salt").count().collect())
-    histogram: dict[int, int] = defaultdict(int)
-    before = np.zeros((capacity + 1, SALTS), np.int64)
-    for size, salt, n in counted:
-        before[size, salt] = histogram[size]
-        histogram[size] += n
+    pieces = cut(pieces.select("doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("size")))
+    histogram = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}  # at most capacity rows
+    salts = {s: -(-n // salt_rows) for s, n in histogram.items() if n > salt_rows}
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece")
+    many = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for e in salts.items() for x in e]), F.col("size")), F.lit(1)) if salts else F.lit(1)
+    pieces = pieces.withColumn("salt", F.pmod(hashed, many.cast("long")))
+    base = np.cumsum([0, *(salts.get(s, 1) for s in range(capacity + 1))])
+    before = np.zeros(int(base[-1]), np.int64)
+    if salts:
+        # a row for every salt_rows pieces and one for every length, in the driver
+        for size, salt, n in pieces.where(F.col("size").isin(list(salts))).groupBy("size", "salt").count().collect():
+            before[base[size] + salt] = n
+        for s in salts:
+            own = before[base[s] : base[s + 1]]
+            own[1:], own[0] = np.cumsum(own[:-1]), 0
     runs = sorted(plan(histogram, capacity)[0])
     table = np.array(runs, np.int64).reshape(-1, 6)
     heads = table[:, 0] << 44 | table[:, 1]
@@ -152,7 +159,7 @@ def pack(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         piece, size, salt, r = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 5))
-        rank = before[size, salt] + r - 1
+        rank = before[base[size] + salt] + r - 1
         k = np.searchsorted(heads, size << 44 | rank, side="right") - 1
         nth = rank - table[k, 1]
         made = (table[k, 3] + nth // table[k, 4], table[k, 5] + nth % table[k, 4] * size)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import packing, tokencount
 from tests.llm.helpers import clashing, docs, rows
@@ -83,3 +84,23 @@ def test_documents_awkward_rows(spark):
     want = tokencount.counter(tokencount.FOLDER, (packing.VOCABULARY,)).count(pa.array([None, "", "a few words", "a few words", long, "x"], pa.string()))[0]
     assert total == {3: int(want[2] + want[3]), 4: int(want[4]), None: int(want[5])}
     assert packing.pack_documents(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_a_hot_length_is_salted_by_its_count(spark):
+    hot = spark.range(4000).selectExpr("id AS doc_id", "CAST(IF(pmod(id, 4) > 0, 64, 1 + pmod(id, 150)) AS long) AS n")
+    got = rows(packing.pack(hot, 64, salt_rows=100))
+    assert got == rows(packing.pack(hot.repartition(5), 64, salt_rows=100))
+    plain = rows(packing.pack(hot, 64))
+    assert sorted(g[2:] for g in got) == sorted(p[2:] for p in plain)
+    fill = lambda x: sorted(Counter(Counter(b for b, *_ in x).values()).items())
+    assert fill(got) == fill(plain)
+    spans = defaultdict(list)
+    for b, at, _, _, _, n in got:
+        spans[b].append((at, at + n))
+    assert all(a[1] <= b[0] for x in spans.values() for a, b in zip(sorted(x), sorted(x)[1:])) and max(e for x in spans.values() for _, e in x) == 64
+
+
+def test_clashing_columns_and_no_rows(spark):
+    table = clashing(spark.createDataFrame([(1, 10), (1, 10), (None, 3)], "doc_id long, n long")).drop("piece", "start")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in packing.pack(table.withColumn("salt", F.lit(9)), 16).collect()) == [(0, 3), (1, 10), (1, 10)]
+    assert packing.pack(table.limit(0), 16).count() == 0
