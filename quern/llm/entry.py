@@ -17,7 +17,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.rewrite(table(spark, sf_dir, "documents"), counted="n_replaced")
+    return pii.rewrite(table(spark, sf_dir, "documents"), pii.key_of(spark), counted="n_replaced")
 
 
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +74,22 @@ SELECT tree_id, CAST(branch_rank AS INT) AS branch_rank, score, n_messages, conv
 FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY score DESC, n_messages DESC, path) AS branch_rank FROM r) WHERE branch_rank <= 2
 """
 
-#: What the frames must show, from the values that were drawn.
+#: What the frames must show, from the values that were drawn: the second frame lies
+#: on the first and is taken back, the third lies on the first and is cleared with
+#: what was under it, the fourth lies on the rest.
 OP10_SQL = """
 WITH v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
-l AS (SELECT vec_id, i, i // 16 AS frame, (x >= -0.1::DOUBLE)::INT + (x >= 0)::INT + (x >= 0.1::DOUBLE)::INT + (x >= 0.2::DOUBLE)::INT AS k FROM v),
-f AS (SELECT vec_id, frame, string_agg(CASE k WHEN 0 THEN '00000000' WHEN 1 THEN '000000FF' WHEN 2 THEN 'FF0000FF' WHEN 3 THEN '00FF00FF' ELSE '0000FFFF' END, '' ORDER BY i) AS pixels,
-  count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 3) AS n3, count(*) FILTER (k = 4) AS n4 FROM l GROUP BY vec_id, frame)
-SELECT vec_id, CAST(frame AS INT) AS frame, CAST(CASE frame WHEN 0 THEN 0 WHEN 1 THEN 40 WHEN 2 THEN 90 ELSE 150 END AS BIGINT) AS start_ms, CAST(40 + 10 * frame AS INT) AS delay_ms, 16 AS width, 1 AS height, pixels,
+l AS (SELECT vec_id, i // 16 AS f, i % 16 // 4 AS r, i % 4 AS c, (x >= -0.1::DOUBLE)::INT + (x >= 0)::INT + (x >= 0.1::DOUBLE)::INT + (x >= 0.2::DOUBLE)::INT AS k FROM v),
+d AS (SELECT vec_id, f, r + [0, 0, 1, 2][f + 1] AS py, c + [0, 1, 0, 2][f + 1] AS px, k FROM l),
+g AS (SELECT vec_id, f, py, px FROM (SELECT vec_id FROM embeddings), range(4) a(f), range(6) b(py), range(6) c(px)),
+s AS (SELECT g.vec_id, g.f, g.py, g.px, nullif(own.k, 0) AS own, CASE WHEN g.f > 0 AND NOT (g.f = 3 AND third.k IS NOT NULL) THEN nullif(first.k, 0) END AS under
+  FROM g LEFT JOIN d own ON own.vec_id = g.vec_id AND own.f = g.f AND own.py = g.py AND own.px = g.px
+  LEFT JOIN d first ON first.vec_id = g.vec_id AND first.f = 0 AND first.py = g.py AND first.px = g.px
+  LEFT JOIN d third ON third.vec_id = g.vec_id AND third.f = 2 AND third.py = g.py AND third.px = g.px),
+p AS (SELECT vec_id, f, py, px, coalesce(own, under, 0) AS k FROM s),
+f AS (SELECT vec_id, f AS frame, string_agg(CASE k WHEN 0 THEN '00000000' WHEN 1 THEN '000000FF' WHEN 2 THEN 'FF0000FF' WHEN 3 THEN '00FF00FF' ELSE '0000FFFF' END, '' ORDER BY py, px) AS pixels,
+  count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 3) AS n3, count(*) FILTER (k = 4) AS n4 FROM p GROUP BY vec_id, f)
+SELECT vec_id, CAST(frame AS INT) AS frame, CAST(CASE frame WHEN 0 THEN 0 WHEN 1 THEN 40 WHEN 2 THEN 90 ELSE 150 END AS BIGINT) AS start_ms, CAST(40 + 10 * frame AS INT) AS delay_ms, 6 AS width, 6 AS height, pixels,
   n1 || ',0,0,' || n4 || repeat(',0', 8) || ',' || n3 || repeat(',0', 35) || ',' || n2 || repeat(',0', 15) AS histogram, CAST(n0 AS INT) AS n_transparent, CAST(NULL AS VARCHAR) AS error
 FROM f
 """

@@ -11,13 +11,15 @@ Defined cases: null bytes, and bytes that are no GIF or whose header or first
 frame is cut short, give one row with frame null and the reason in error; a
 later frame that is cut short ends the frames with one such row, after the
 frames before it; codes after the canvas is full are ignored, missing ones leave
-background; a canvas above ``MAX_PIXELS`` is refused as an error row; a delay of
-0 stays 0; repeated rows give the same frames; an empty table gives no rows;
-columns other than the two named are not read.
+background; a canvas or frame above ``max_pixels`` (a parameter) is refused as an
+error row; a delay of 0 stays 0; repeated rows give the same frames; an empty table
+gives no rows; columns other than the two named are not read; a key named as one of
+the frames' columns gets underscores after its name.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -128,7 +130,7 @@ def _rows(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+def decode(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[tuple[int, np.ndarray]]:
     """(delay in ms, RGBA canvas) of each frame; Broken where the bytes end early."""
     at = 0
 
@@ -148,7 +150,7 @@ def decode(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
     if take(6) not in (b"GIF87a", b"GIF89a"):
         raise Broken("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", take(7))
-    if width * height == 0 or width * height > MAX_PIXELS:
+    if width * height == 0 or width * height > max_pixels:
         raise Broken(f"a canvas of {width} x {height}")
     common = np.frombuffer(take(3 << (flags & 7) + 1), np.uint8).reshape(-1, 3) if flags & 128 else None
     canvas = np.zeros((height, width, 4), np.uint8)
@@ -175,7 +177,7 @@ def decode(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         least = take(1)[0]
         if not 1 <= least <= 11:
             raise Broken("a code size out of range")
-        if w * h > MAX_PIXELS:
+        if w * h > max_pixels:
             raise Broken(f"a frame of {w} x {h}")
         got = np.frombuffer(unpack_codes(blocks(), least, w * h), np.uint8)
         index = np.full(w * h, -1, np.int64)
@@ -199,18 +201,32 @@ def decode(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         delay, disposal, clear = 0, 0, -1
 
 
-def encode(frames: list[np.ndarray], palette: np.ndarray, delays: list[int], transparent: int = -1, disposal: int = 0, interlaced: bool = False) -> bytes:
-    """A GIF of index arrays of one size with a common palette; delays in ms."""
-    bits = max(1, int(len(palette) - 1).bit_length())
-    height, width = frames[0].shape
-    full = np.zeros((1 << bits, 3), np.uint8)
-    full[: len(palette)] = palette
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 128 | (bits - 1) << 4 | bits - 1, 0, 0), full.tobytes()]
-    for pixels, delay in zip(frames, delays):
-        out.append(b"!\xf9\x04" + struct.pack("<BHB", disposal << 2 | (transparent >= 0), delay // 10, max(0, transparent)) + b"\0")
-        out.append(b"," + struct.pack("<HHHHB", 0, 0, width, height, 64 if interlaced else 0))
+def encode(
+    frames: list[np.ndarray], palette: np.ndarray, delays: list[int], transparent: int = -1, disposal: int | list[int] = 0, interlaced: bool | list[bool] = False,
+    places: list[tuple[int, int]] | None = None, size: tuple[int, int] | None = None, local: list[np.ndarray | None] | None = None,
+) -> bytes:
+    """A GIF of index arrays with a common palette, or of the frame's own where
+    ``local`` has one; delays in ms; places: (x, y) of each frame on a canvas of
+    ``size`` (width, height), by default that of the first frame."""
+    each = lambda v: v if isinstance(v, list) else [v] * len(frames)
+    places, local = places or [(0, 0)] * len(frames), local or [None] * len(frames)
+    width, height = size or frames[0].shape[::-1]
+
+    def colours(table: np.ndarray) -> tuple[int, bytes]:
+        bits = max(1, int(len(table) - 1).bit_length())
+        full = np.zeros((1 << bits, 3), np.uint8)
+        full[: len(table)] = table
+        return bits, full.tobytes()
+
+    common, data = colours(palette)
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 128 | (common - 1) << 4 | common - 1, 0, 0), data]
+    for pixels, delay, dispose, woven, (x, y), own in zip(frames, delays, each(disposal), each(interlaced), places, local):
+        h, w = pixels.shape
+        bits, table = colours(own) if own is not None else (common, b"")
+        out.append(b"!\xf9\x04" + struct.pack("<BHB", dispose << 2 | (transparent >= 0), delay // 10, max(0, transparent)) + b"\0")
+        out.append(b"," + struct.pack("<HHHHB", x, y, w, h, 64 * woven | (128 | bits - 1 if own is not None else 0)) + table)
         least = max(2, bits)
-        stream = pack_codes((pixels[_rows(height)] if interlaced else pixels).astype(np.uint8).tobytes(), least)
+        stream = pack_codes((pixels[_rows(h)] if woven else pixels).astype(np.uint8).tobytes(), least)
         out.append(bytes((least,)) + b"".join(bytes((len(stream[i : i + 255]),)) + stream[i : i + 255] for i in range(0, len(stream), 255)) + b"\0")
     return b"".join(out) + b";"
 
@@ -225,9 +241,12 @@ def histogram(canvas: np.ndarray) -> tuple[list[int], int]:
 FRAME = "frame int, start_ms long, delay_ms int, width int, height int, pixels binary, histogram array<int>, n_transparent int, error string"
 
 
-def frames(media: DataFrame, key: str, content: str) -> DataFrame:
+def frames(media: DataFrame, key: str, content: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
     """One row a frame of each GIF in column ``content``, with its ``key``."""
-    schema = T.StructType([T.StructField(key, media.schema[key].dataType), *T.StructType.fromDDL(FRAME).fields])
+    own, name = T.StructType.fromDDL(FRAME), key
+    while name.lower() in own.names:
+        name += "_"
+    schema = T.StructType([T.StructField(name, media.schema[key].dataType), *own.fields])
     types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.string()]
 
     def rows(data: bytes | None) -> Iterator[tuple]:
@@ -236,7 +255,7 @@ def frames(media: DataFrame, key: str, content: str) -> DataFrame:
             yield None, None, None, None, None, None, None, None, "no bytes"
             return
         try:
-            for delay, canvas in decode(data):
+            for delay, canvas in decode(data, max_pixels):
                 bins, clear = histogram(canvas)
                 yield n, start, delay, canvas.shape[1], canvas.shape[0], canvas.tobytes(), bins, clear, None
                 start, n = start + delay, n + 1
@@ -269,11 +288,19 @@ def frames(media: DataFrame, key: str, content: str) -> DataFrame:
 COLOURS = np.array([[0, 0, 0], [255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 255]], np.uint8)
 
 
+#: The same colours in the order of a frame's own palette, and where each went.
+SHUFFLED = [2, 0, 3, 1, 4]
+#: Of the four frames: (x, y) on the canvas, disposal, interlaced, own palette.
+LAYOUT = (((0, 0), 1, False, False), ((1, 0), 3, True, True), ((0, 1), 2, False, True), ((2, 2), 0, True, False))
+
+
 def from_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, gif): each vector drawn as an animation of up to four frames, a
-    quarter of its values each; a value's level is its pixel's colour, the lowest
-    level transparent."""
+    """(vec_id, gif): each vector drawn as an animation of up to four square frames, a
+    quarter of its values each, on a canvas two pixels wider; a value's level is its
+    pixel's colour, the lowest level transparent.  Frames differ in place, disposal
+    (leave, restore, clear), interlacing and palette as ``LAYOUT`` says."""
     schema = T.StructType([T.StructField("vec_id", embeddings.schema["vec_id"].dataType), T.StructField("gif", T.BinaryType())])
+    moved = np.argsort(SHUFFLED)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         made: list[bytes | None] = []
@@ -285,9 +312,15 @@ def from_vectors(embeddings: DataFrame) -> DataFrame:
             level = np.where(np.isnan(x), 4, np.digitize(x, [-0.1, 0.0, 0.1, 0.2])).astype(np.int64)
             level = np.where(level == 0, 4, level - 1)
             parts = np.array_split(level, min(4, len(level)))
-            wide = max(map(len, parts))
-            pixels = [np.pad(p, (0, wide - len(p)), constant_values=4).reshape(1, wide) for p in parts]
-            made.append(encode(pixels, COLOURS, [40 + 10 * k for k in range(len(parts))], transparent=4, disposal=2))
+            side = math.isqrt(max(map(len, parts)) - 1) + 1
+            pixels = [np.pad(p, (0, side * side - len(p)), constant_values=4).reshape(side, side) for p in parts]
+            how = LAYOUT[: len(parts)]
+            made.append(
+                encode(
+                    [moved[p] if own else p for p, (*_, own) in zip(pixels, how)], COLOURS, [40 + 10 * k for k in range(len(parts))], transparent=4, disposal=[d for _, d, *_ in how], interlaced=[i for *_, i, _ in how],
+                    places=[at for at, *_ in how], size=(side + 2, side + 2), local=[COLOURS[SHUFFLED] if own else None for *_, own in how],
+                )
+            )
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=schema.names)
 
     return map_rows(embeddings.select("vec_id", "embedding"), schema, run)

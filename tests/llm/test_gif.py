@@ -92,3 +92,19 @@ def test_vectors_become_frames(spark):
     got = gif.frames(gif.from_vectors(table), "vec_id", "gif").collect()
     n = {k: sum(r.vec_id == k and r.frame is not None for r in got) for k in range(1, 6)}
     assert n == {1: 4, 2: 0, 3: 0, 4: 2, 5: 4}
+
+
+def test_clashing_key_and_the_pixel_bound(spark):
+    whole = gif.encode([np.ones((2, 2), np.uint8)], PALETTE, [20])
+    got = gif.frames(spark.createDataFrame([(7, whole)], "Width long, content binary"), "Width", "content", max_pixels=4)
+    assert got.columns[0] == "Width_" and [(r.Width_, r.width) for r in got.collect()] == [(7, 2)]
+    assert "canvas" in gif.frames(spark.createDataFrame([(7, whole)], "k long, content binary"), "k", "content", max_pixels=3).collect()[0].error
+
+
+def test_own_palettes_places_and_mixed_disposals():
+    a, b = np.array([[1, 2], [3, 4]], np.uint8), np.array([[0]], np.uint8)
+    local = np.array([[7, 8, 9], [1, 1, 1]], np.uint8)
+    made = gif.encode([a, b, b], np.arange(15, dtype=np.uint8).reshape(5, 3), [0, 0, 0], disposal=[1, 3, 0], places=[(0, 0), (1, 1), (2, 0)], size=(3, 2), local=[None, local, local])
+    one, two, three = (c for _, c in gif.decode(made))
+    assert tuple(one[1, 1]) == (12, 13, 14, 255) and tuple(two[1, 1]) == (7, 8, 9, 255)
+    assert tuple(three[1, 1]) == (12, 13, 14, 255) and tuple(three[0, 2]) == (7, 8, 9, 255) and one[0, 2, 3] == 0
