@@ -14,8 +14,11 @@ from tests.llm.helpers import clashing, docs
 MAIL = re.compile(r"[\w.+-]+@[\w.-]+\.\w+")
 
 
+KEY = b"of the tests"
+
+
 def _replaced(text: str) -> str:
-    return pii.replaced(text, {})[0]
+    return pii.replaced(text, {}, KEY)[0]
 
 
 def test_kinds_keep_their_format():
@@ -45,7 +48,7 @@ def test_card_keeps_its_checksum_and_given_names_their_gender():
     kinds = {x[2] for x in pii.find("Mary Jones met Peter Smith.")}
     assert {"GIVEN_F", "GIVEN_M", "SURNAME"} <= kinds
     endings = pii._SOUNDS["latin"][2]
-    assert pii.surrogate("GIVEN_F", "mary").endswith(tuple(endings["F"])) and pii.surrogate("GIVEN_M", "peter").endswith(tuple(endings["M"]))
+    assert pii.surrogate("GIVEN_F", "mary", 0, KEY).endswith(tuple(endings["F"])) and pii.surrogate("GIVEN_M", "peter", 0, KEY).endswith(tuple(endings["M"]))
 
 
 def test_mentions_of_one_entity_get_one_surrogate():
@@ -68,7 +71,7 @@ def test_prefilter_never_loses_an_entity(text):
 def test_prefilter_on_texts_with_entities():
     import pyarrow as pa
 
-    texts = ["Dr. Weber kam", "x a@b.example.com", "Paul Weiß", "secret: abcdefgh", "no one here", "É. Mr Élan Dupont", "γεια Ελένη Παππά"]
+    texts = ["Dr. Weber kam", "x a@b.example.com", "Paul Weiß", "secret: abcdefgh", "no one here", "É. Mr Élan Dupont", "γεια Ελένη Παππά", "Dr. Łukasz Nowak", "gone Herr Şahin", "so Mary went", "only ANA", "ỲỲ Mr Ỳx"]
     for t in texts:
         marked = {i: how for i, *how in pii.suspects(pa.array([t], pa.string()))}
         assert pii.find(t) == (pii.find(t, *marked[0]) if 0 in marked else [])
@@ -77,8 +80,8 @@ def test_prefilter_on_texts_with_entities():
 def test_distinct_entities_stay_distinct(spark):
     # four-digit numbers of one area: surrogates are sure to meet by chance
     texts = [f"call 555-555-{i:04d} now" for i in range(3000)]
-    for limit in (pii.BROADCAST_ROWS, 0):
-        got = [r.text for r in pii.rewrite(docs(spark, texts), broadcast_rows=limit).orderBy("doc_id").collect()]
+    for limit in (pii.BROADCAST_BYTES, 0):
+        got = [r.text for r in pii.rewrite(docs(spark, texts), KEY, broadcast_bytes=limit).orderBy("doc_id").collect()]
         assert len(set(got)) == len(got)
         originals = set(texts)
         assert not originals & set(got)
@@ -87,20 +90,20 @@ def test_distinct_entities_stay_distinct(spark):
 def test_both_ways_are_the_same(spark):
     r = random.Random(2)
     texts = [f"mail u{r.randrange(300)}@h{r.randrange(9)}.example.com or 555-555-{r.randrange(900):04d}, Mr. Smith{'' if i % 2 else 'son'}" for i in range(800)]
-    a, b = (sorted(map(tuple, pii.rewrite(docs(spark, texts), broadcast_rows=n, counted="n_replaced").collect())) for n in (pii.BROADCAST_ROWS, 0))
+    a, b = (sorted(map(tuple, pii.rewrite(docs(spark, texts), KEY, broadcast_bytes=n, counted="n_replaced").collect())) for n in (pii.BROADCAST_BYTES, 0))
     assert a == b and all(row[-1] >= 2 for row in a)
 
 
 def test_awkward_rows(spark):
     long = "plain words only " * 40_000 + "me@my.example.com"
     table = clashing(docs(spark, [None, "", long, "me@my.example.com", "me@my.example.com"], [1, 2, 3, None, 4]))
-    got = pii.rewrite(table, counted="n_replaced")
+    got = pii.rewrite(table, KEY, counted="n_replaced")
     assert [c for c in got.columns if c != "n_replaced"] == [c for c in table.columns if c != "n_replaced"] and got.columns[-1] == "n_replaced"
     by = {r.doc_id: r for r in got.collect()}
     assert by[1].text is None and by[1].n_chars is None and by[2].text == "" and by[4].n_replaced == 1
     assert by[3].text.endswith(by[4].text) and by[4].text == by[None].text != "me@my.example.com" and by[3].n_chars == len(by[3].text)
     assert by[4].hi == "own hi"
-    assert pii.rewrite(docs(spark, ["x"]).limit(0)).count() == 0
+    assert pii.rewrite(docs(spark, ["x"]).limit(0), KEY).count() == 0
 
 
 def test_digits_of_any_script_are_marked():
@@ -118,3 +121,81 @@ def test_digits_of_any_script_are_marked():
             assert 0 in marked and len(pii.find(text, *marked[0])) == 1, (zero, number)
             got = _replaced(text)
             assert got != text and all(c.isdecimal() == d.isdecimal() and (not c.isdecimal() or ord(c) - int(c) == ord(d) - int(d)) for c, d in zip(got, text, strict=True)), (text, got)
+
+
+def _spans(text: str) -> list[tuple[str, str]]:
+    return [(text[a:b], k) for a, b, k, _ in pii.find(text)]
+
+
+def test_names_of_any_latin_letter_and_their_later_mentions():
+    assert _spans("Dr. Łukasz Nowak und Herr Şahin") == [("Łukasz", "GIVEN_N"), ("Nowak", "SURNAME"), ("Şahin", "SURNAME")]
+    assert _spans("Mr. Smith came. Later Smith left, and smith or Smithson too.") == [("Smith", "SURNAME")] * 2
+    assert _spans("Mr Zoltan Kovacs met us. Zoltan Kovacs left, Kovacs's bag did not.") == [("Zoltan", "GIVEN_M"), ("Kovacs", "SURNAME")] * 2 + [("Kovacs", "SURNAME")]
+    assert _spans("then Mary went home, MARY said") == [("Mary", "GIVEN_F"), ("MARY", "GIVEN_F")]
+    assert _spans("the Peter Berlin Conference Centre") == [("Peter", "GIVEN_M"), ("Berlin", "SURNAME")]
+    a, b = re.findall(r"Mr\. (\w+) came\. Later (\w+)", _replaced("Mr. Smith came. Later Smith left."))[0]
+    assert a == b != "Smith"
+
+
+def test_a_secret_in_the_form_of_a_key_is_that_key():
+    value = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    got = _replaced(f"token = {value} and then {value} alone")
+    x, y = re.findall(r"[0-9a-f]{40}", got)
+    assert x == y != value
+
+
+def test_a_long_key_counts_whole():
+    assert pii.surrogate("SSN", "078051120", 0, b"k" * 70 + b"1") != pii.surrogate("SSN", "078051120", 0, b"k" * 70 + b"2")
+
+
+def _assigned(entities: list[tuple[str, str]], key: bytes) -> set[tuple[str, str, int, str]]:
+    """Round by round in one process."""
+    real, out, todo, attempt = set(entities), {}, sorted(entities), 0
+    while todo:
+        made = {(k, c): pii.surrogate(k, c, attempt, key) for k, c in todo}
+        taken = {(k, m) for (k, _), (_, m) in out.items()} | real
+        rest = []
+        for k, c in todo:
+            if (k, made[k, c]) in taken:
+                rest.append((k, c))
+            else:
+                taken.add((k, made[k, c]))
+                out[k, c] = (attempt, made[k, c])
+        todo, attempt = rest, attempt + 1
+    return {(k, c, n, m) for (k, c), (n, m) in out.items()}
+
+
+def test_assignment_against_one_process_in_full_ranges(spark):
+    ips = [("IP", f"192.168.{a}.{b}") for a in range(0, 256, 2) for b in range(256)]
+    short = [("SECRET", f"{i:05d}") for i in range(0, 100_000, 40)] + [("PHONE", f"555{i:04d}") for i in range(1500)] + [("SURNAME", "smith"), ("GIVEN_F", "mary")]
+    entities = ips + short
+    got = {tuple(r) for r in pii.assign(spark.createDataFrame(entities, "kind string, canon string").repartition(4), KEY).select("kind", "canon", "attempt", "made").collect()}
+    assert got == _assigned(entities, KEY)
+    assert len({(k, m) for k, _, _, m in got}) == len(entities) and not {(k, m) for k, _, _, m in got} & set(entities)
+
+
+def test_a_range_that_cannot_be_left_is_an_error(spark):
+    import pytest
+
+    every = [("PHONE", f"555{i:04d}") for i in range(4000)]
+    with pytest.raises(RuntimeError):
+        pii.assign(spark.createDataFrame(every, "kind string, canon string"), KEY, attempts=1)
+
+
+def test_corpus_against_one_process(spark):
+    r = random.Random(12)
+    parts = ["Mr. Smith", "Frau Müller", "Mary Jones", "a.b@x1.example.org", "192.168.7.41", "555-555-1234", "token = 4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e", "plain", "words", "Smith"]
+    texts = [" ".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(300)]
+    entities = sorted({x[2:] for t in texts for x in pii.find(t)})
+    later = {(k, c): n for k, c, n, _ in _assigned(entities, KEY)}
+    want = [pii.replaced(t, later, KEY) for t in texts]
+    got = pii.rewrite(clashing(docs(spark, texts)).withColumnRenamed("n_replaced", "N_Replaced"), KEY, counted="n_replaced").orderBy("doc_id").collect()
+    assert [(x.text, x.n_replaced) for x in got] == want
+
+
+def test_the_key_is_the_sessions_or_of_one_run(spark):
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.key_of(spark) != pii.key_of(spark) and len(pii.key_of(spark)) == 32
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.key_of(spark) == b"mine"
+    spark.conf.unset(pii.KEY_SETTING)

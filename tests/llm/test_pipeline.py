@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pyarrow as pa
 
 import corpus_pipeline
 from quern.llm import packing, pii, tokencount
-from tests.llm.helpers import DOCS
+from tests.llm.helpers import DOCS, clashing
 
 WORDS = ("the", "and", "of", "that", "river", "stone", "water", "house", "green", "walk", "under", "over", "people", "morning", "letter", "winter")
 
@@ -40,12 +41,14 @@ def _folder(spark, tmp_path) -> tuple[str, dict]:
 
 def test_run_equals_the_stages_by_hand(spark, tmp_path):
     folder, want = _folder(spark, tmp_path)
+    spark.conf.set(pii.KEY_SETTING, "of the tests")
     got = corpus_pipeline.run(spark, folder).collect()
+    spark.conf.unset(pii.KEY_SETTING)
     assert {r.doc_id for r in got} == set(want)
     counter = tokencount.counter(tokencount.FOLDER, (packing.VOCABULARY,))
     sizes = {}
     for d, text in want.items():
-        sizes[d] = int(counter.count(pa.array([pii.replaced(text, {})[0]]))[0][0])
+        sizes[d] = int(counter.count(pa.array([pii.replaced(text, {}, b"of the tests")[0]]))[0][0])
     have: dict[int, int] = {}
     used: dict[int, list] = {}
     for r in got:
@@ -89,3 +92,21 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, none, folder)
         assert out.count() == 0
+
+
+def test_awkward_rows_go_through_every_stage(spark, tmp_path):
+    folder, _ = _folder(spark, tmp_path)
+    r = random.Random(10)
+    body = _sentence(r, 50)
+    more = [(None, body, "en", "s", 1), (None, _sentence(r, 60), None, None, None), (500, None, "en", "s", None), (501, "", "", "s", 0), (502, "Ω—“”", None, "s", 4), (503, _sentence(r, 70), "en", None, None), (503, _sentence(r, 70), "en", None, None)]
+    docs = clashing(spark.read.parquet(f"{folder}/documents.parquet").unionByName(spark.createDataFrame(more, DOCS)))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, folder).write.parquet(f"{folder}/awkward-{name}")
+        docs = spark.read.parquet(f"{folder}/awkward-{name}")
+        assert docs.columns == columns
+    kept = Counter(x.doc_id for x in docs.select("doc_id").collect())
+    # two rows of no id stay; one of the two of 503; what has no letters goes
+    assert kept[None] == 2 and kept[503] == 1 and not {500, 501} & set(kept)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert {x.doc_id for x in packed} == set(kept)
