@@ -7,12 +7,15 @@ to every view."""
 from __future__ import annotations
 
 import json
+import uuid
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quern.errors import ConfigError
-from quern.operators import ledger, versions
+from quern.operators import graph, ledger, lexical, versions
+from quern.operators.sizes import hinted
 
 FORMAT = 1
 TABLES = {
@@ -21,6 +24,8 @@ TABLES = {
     "chunk": "id string, workspace_id string, version_id string, ordinal int, char_start int, char_end int, text string, heading_path array<string>, page_from int, page_to int, token_count int",
     "header": "chunk_id string, header string, set_at timestamp",
     "quarantine": "id string, version_id string, char_start int, char_end int, text string, reason string",
+    "posting": "term string, chunk_id string, tf int, size int, field string, bucket int",
+    "length": "chunk_id string, size int, field string",
     "embedding": "chunk_id string, embedding array<float>, generation string",
     "embedding_space": "workspace_id string, model string, dimensions int, generation string, recorded_at timestamp",
     "assertion": "id string, workspace_id string, subject_id string, predicate string, object string, modality string, confidence double, valid_from date, valid_to date, asserted_at timestamp, evidence array<struct<chunk_id:string,quote:string>>",
@@ -34,6 +39,10 @@ TABLES = {
 }
 
 
+#: Columns that a table's files are parted by.
+PARTED = {"posting": ["field", "bucket"], "length": ["field"]}
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -61,7 +70,10 @@ class Catalog:
 
     def append(self, name: str, df: DataFrame) -> None:
         fields = [f.name for f in self.empty(name).schema.fields]
-        df.select(*fields).write.mode("append").parquet(f"{self.folder}/{name}")
+        self._write(name, df.select(*fields))
+
+    def _write(self, name: str, df: DataFrame) -> None:
+        df.write.mode("append").partitionBy(*PARTED.get(name, ())).parquet(f"{self.folder}/{name}")
 
     def empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], TABLES[name])
@@ -83,10 +95,60 @@ class Catalog:
         own = versions.current_only(self.read("chunk").dropDuplicates(["id"]), self.all_versions(), include_superseded)
         return versions.with_headers(own, self.read("header"))
 
+    def spaces(self) -> DataFrame:
+        """The last recorded space of each workspace, with its number of vectors; a
+        cleared one has no model."""
+        last = self.read("embedding_space").groupBy("workspace_id").agg(F.max_by(F.struct("model", "dimensions", "generation"), F.struct("recorded_at", "generation")).alias("s")).select("workspace_id", "s.*")
+        n = self.read("embedding").groupBy(F.col("generation").alias("__g")).agg(F.count_distinct("chunk_id").alias("vectors"))
+        return last.join(n, F.col("generation") == F.col("__g"), "left").select("workspace_id", "model", "dimensions", "generation", F.coalesce("vectors", F.lit(0)).alias("vectors"))
+
+    def space(self, workspace: str) -> Row | None:
+        """That of one workspace, unless it was cleared."""
+        return self.spaces().where((F.col("workspace_id") == workspace) & F.col("model").isNotNull()).first()
+
+    def record_space(self, workspace: str, model: str | None, dimensions: int | None, generation: str) -> None:
+        row = [(workspace, model, dimensions, generation, datetime.now(UTC))]
+        self.append("embedding_space", self.spark.createDataFrame(row, TABLES["embedding_space"]))
+
+    def clear_embeddings(self, workspace: str) -> None:
+        """From here on the workspace has no vectors and no space; nothing is deleted."""
+        self.record_space(workspace, None, None, uuid.uuid4().hex)
+
     def embeddings(self) -> DataFrame:
-        """Vectors of the last recorded space; older generations are left alone."""
-        last = self.read("embedding_space").orderBy(F.desc("recorded_at"), "generation").limit(1).select("generation")
-        return self.read("embedding").join(F.broadcast(last), "generation", "left_semi").dropDuplicates(["chunk_id"])
+        """Vectors of each workspace's last space; older generations are left alone."""
+        return self.read("embedding").join(F.broadcast(self.spaces().select("generation")), "generation", "left_semi").dropDuplicates(["chunk_id"])
+
+    def index_texts(self, texts: DataFrame) -> None:
+        """Append the postings and lengths of rows (chunk_id, field, text).
+
+        A posting lies in the folder of its field and its term's bucket; the rows of a
+        bucket are spread over a few tasks by chunk, as a common word's are many."""
+        for row in texts.select("field").distinct().collect():
+            own = texts.where(F.col("field") == row.field)
+            index = lexical.indexed(own, "chunk_id", "text").withColumn("field", F.lit(row.field))
+            self._write("length", index.select("chunk_id", "size", "field"))
+            posted = lexical.postings(index, "chunk_id").withColumn("field", F.lit(row.field)).withColumn("bucket", lexical.bucket(F.col("term")))
+            spread = F.pmod(F.xxhash64("chunk_id"), F.lit(4))
+            self._write("posting", posted.select("term", "chunk_id", "tf", "size", "field", "bucket").repartition("bucket", spread))
+
+    def bm25(self, field: str, queries: DataFrame, query_id: str, k: int, scope: DataFrame | None = None, column: str = "text") -> DataFrame:
+        """(query, chunk_id, score, rank) from stored postings: only the buckets of the
+        terms asked for are read; statistics come from all that was indexed, ``scope``
+        says what may be found."""
+        asked = graph.cut(lexical.query_terms(queries, query_id, column))
+        # at most lexical.BUCKETS numbers
+        buckets = [r[0] for r in asked.select(lexical.bucket(F.col("term"))).distinct().collect()]
+        wanted = hinted(asked.select(F.col("term").alias("__u")).distinct())
+        stored = self._stored("posting").where((F.col("field") == field) & F.col("bucket").isin(buckets))
+        # a repeated append of a chunk's postings counts once
+        posted = stored.join(wanted, F.col("term") == F.col("__u"), "left_semi").groupBy("term", "chunk_id").agg(F.max("tf").alias("tf"), F.max("size").alias("size"))
+        lengths = self._stored("length").where(F.col("field") == field).groupBy("chunk_id").agg(F.max("size").alias("size"))
+        corpus = lengths.agg(F.count("*").alias("__docs"), F.avg("size").alias("__avg"))
+        return lexical.scored(posted, corpus, asked, "chunk_id", query_id, k, scope)
+
+    def _stored(self, name: str) -> DataFrame:
+        """As ``read``, but chunk ids of any type."""
+        return self.spark.read.parquet(f"{self.folder}/{name}") if self.exists(name) else self.empty(name)
 
     def assertions(self) -> DataFrame:
         return ledger.state(self.read("assertion").dropDuplicates(["id"]), self.read("invalidation"), self.read("dispute"))

@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("--arms", default=",".join(fusion.ARMS))
     search.add_argument("--explain", action="store_true")
     search.add_argument("--json", action="store_true")
-    sub.add_parser("changes").add_argument("run")
+    sub.add_parser("changes").add_argument("run", nargs="?", help="by default the last one")
     return p
 
 
@@ -90,7 +90,7 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
             rows = rows.where(F.startswith("id", F.lit(args.id)))
         _show(rows.orderBy("version_id", "ordinal").limit(200).collect(), ["id", "ordinal", "char_start", "char_end", "text"])
     elif args.command == "index":
-        made = intake.index(store, workspace, ports.embedder(conf.embeddings.model, conf.embeddings.dimensions), args.rebuild)
+        made = intake.index(store, workspace, ports.embedder(conf.embeddings.model, conf.embeddings.dimensions), args.rebuild, conf)
         print(f"{made} vectors written")
     elif args.command == "search":
         arms = fusion.check_arms(tuple(a for a in args.arms.split(",") if a))
@@ -103,7 +103,9 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
         else:
             _show(told, ["rank", "score", "heading_path", *(["ranks"] if args.explain else []), "preview"])
     elif args.command == "changes":
-        report = ledger.change_report(store.read("change_event").where(F.col("run_id") == args.run))
+        last = store.read("run").orderBy(F.desc("started_at"), "id").limit(1).collect()
+        wanted = args.run or (last[0].id if last else "")
+        report = ledger.change_report(store.read("change_event").where(F.col("run_id") == wanted))
         _show(report.orderBy("kind").collect(), ["kind", "n", "subjects"])
     return 0
 

@@ -17,8 +17,8 @@ DATE_PATTERNS = (
 #: A word of a type's name -> the type; the first found decides.
 TYPE_HINTS = (("minutes", "minutes"), ("agenda", "agenda"), ("register", "register"), ("policy", "policy"), ("briefing", "briefing"), ("report", "report"), ("terms of reference", "terms"), ("note", "note"), ("email", "email"))
 SUFFIX_TYPES = {"eml": "email", "csv": "register", "tsv": "register", "xlsx": "register", "pptx": "briefing"}
-BODIES = ("Committee", "Board", "Cabinet", "Council", "Panel", "Group", "Programme", "Project", "Forum", "Commission", "Partnership", "Team")
-MEETING = rf"\b((?:[A-Z][\p{{L}}&'-]*\s+){{1,4}}(?:{'|'.join(BODIES)}))\b"
+BODIES = ("Sub-Committee", "Working Group", "Task Force", "Committee", "Board", "Cabinet", "Council", "Panel", "Group", "Programme", "Project", "Forum", "Commission", "Partnership", "Team")
+MEETING = rf"\b((?:[A-Z][\p{{L}}&'-]*\s+){{0,4}}(?:{'|'.join(BODIES)}))\b"
 REQUIRED = ("title", "published_at", "doc_type", "meeting_or_project", "uri")
 
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,14 +104,43 @@ def porter(word: str) -> str:
     return word
 
 
+def folded(text: str) -> str:
+    """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+
+
 def terms(text: str | None) -> list[str]:
     """Stems in order; an underscore splits."""
-    if not text:
-        return []
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(c)) if not text.isascii() else text.lower()
-    return [porter(w) for w in _TERM.findall(plain)]
+    return [porter(w) for w in _TERM.findall(folded(text))] if text else []
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(c: pd.Series) -> pd.Series:
     return c.map(terms)
+
+
+def counted(df: DataFrame, id_: str, column: str) -> DataFrame:
+    """(id, size, terms, tfs): the number of words of each text, its distinct stems and
+    how often each is there.  A null text has no words."""
+    schema = T.StructType([T.StructField(id_, df.schema[id_].dataType), T.StructField("size", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, found, often, ends = [], [], [], [0]
+            for text in batch.column(1):
+                words = _TERM.findall(folded(text.as_py() or ""))
+                own: dict[str, int] = {}
+                for word, n in Counter(words).items():
+                    s = porter(word)
+                    own[s] = own.get(s, 0) + n
+                sizes.append(len(words))
+                found += own
+                often += own.values()
+                ends.append(len(found))
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in ((found, pa.string()), (often, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), *lists], names=schema.names)
+
+    return df.select(id_, column).mapInArrow(run, schema)

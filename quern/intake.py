@@ -13,15 +13,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.catalog import Catalog
-from quern.errors import BudgetExceeded
+from quern.catalog import TABLES, Catalog
+from quern.errors import BudgetExceeded, EmbeddingMismatch
 from quern.functions import embed as vectors
 from quern.functions import metadata
-from quern.operators import chunking, dense, hybrid, versions
+from quern.operators import chunking, dense, fusion, hybrid, versions
+from quern.operators.graph import cut
 from quern.operators.sanitise import sanitise
 from quern.settings import Settings, stamp
 from quern.sources import files
 
+#: Chunks whose vectors are committed at once.
+COMMIT_ROWS = 1_000_000
+#: Chunks that a run may embed for each document that it may take in.
+CHUNKS_A_DOCUMENT = 200
+
 CLEAN = files.PARSED.replace("error string", "quarantine array<struct<start:int,end:int,reason:string,text:string>>, error string")
 
 
@@ -50,7 +56,8 @@ def cleaned(parsed: DataFrame) -> DataFrame:
 def ingest_files(catalog: Catalog, found: DataFrame, workspace: str, settings: Settings = Settings()) -> DataFrame:
     """Ingest rows (external_id, uri, content, error); returns (external_id, outcome,
     reason), outcome being ingested, unchanged or failed.  Safe to repeat."""
-    now = F.lit(datetime.now(UTC)).cast("timestamp")
+    started = datetime.now(UTC)
+    now, run_id = F.lit(started).cast("timestamp"), uuid.uuid4().hex
     staged = f"{catalog.folder}/_staged/{uuid.uuid4().hex}"
     given = found.withColumn("document_id", hashed_id(F.lit(workspace), F.col("external_id"))).withColumn("content_hash", versions.content_hash("content"))
     current = versions.latest(catalog.read("version").dropDuplicates(["id"]), "document_id", "version_no").select("document_id", "content_hash", "version_no")
@@ -80,48 +87,74 @@ def ingest_files(catalog: Catalog, found: DataFrame, workspace: str, settings: S
     catalog.append("quarantine", spans.select(hashed_id(F.col("version_id"), F.col("start"), F.col("end"), F.col("reason")).alias("id"), "version_id", F.col("start").alias("char_start"), F.col("end").alias("char_end"), "text", "reason"))
     limits = chunking.Limits(settings.chunking.max_tokens, settings.chunking.overlap, settings.chunking.structure_first)
     made = chunking.chunk_versions(described.select(F.col("version_id").alias("id"), "text", "headings", "page_offsets"), headings="headings", pages="page_offsets", limits=limits)
-    catalog.append("chunk", made.withColumn("id", hashed_id(F.col("version_id"), F.col("ordinal"))).withColumn("workspace_id", F.lit(workspace)))
+    made.withColumn("id", hashed_id(F.col("version_id"), F.col("ordinal"))).withColumn("workspace_id", F.lit(workspace)).write.parquet(f"{staged}/chunks")
+    chunks = read(f"{staged}/chunks")
+    catalog.append("chunk", chunks)
+    fields = {"body": F.col("text"), "heading": F.concat_ws(" ", "heading_path")}
+    for field, column in fields.items():
+        catalog.index_texts(chunks.select(F.col("id").alias("chunk_id"), F.lit(field).alias("field"), column.alias("text")))
     # a version is written last: until then a repeated run takes its document as new
     catalog.append("version", described.select(F.col("version_id").alias("id"), "document_id", "version_no", "content_hash", F.sha2("text", 256).alias("text_hash"), "mime", "bytes", "parser", F.col("quality").alias("parse_quality"), now.alias("ingested_at"), "text", "warnings", "misses"))
     done = rows.select(F.col("external_id").alias("__x"), "error")
     out = given.select("external_id", F.col("error").alias("refused")).join(done, F.col("external_id") == F.col("__x"), "left")
     outcome = F.when(F.coalesce("refused", "error").isNotNull(), "failed").when(F.col("__x").isNotNull(), "ingested").otherwise("unchanged")
     out.select("external_id", outcome.alias("outcome"), F.coalesce("refused", "error").alias("reason")).write.parquet(f"{staged}/outcomes")
-    return read(f"{staged}/outcomes")
+    outcomes = read(f"{staged}/outcomes")
+    # a document's first version is news, a later one a change of what was known
+    kind = F.when(F.col("version_no") == 1, "new").otherwise("outdated")
+    events = described.select(hashed_id(F.lit(run_id), F.col("version_id")).alias("id"), F.lit(run_id).alias("run_id"), kind.alias("kind"), F.col("document_id").alias("subject_id"), F.monotonically_increasing_id().alias("seq"))
+    catalog.append("change_event", events)
+    counted = {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
+    row = [(run_id, workspace, started, datetime.now(UTC), counted)]
+    catalog.append("run", catalog.spark.createDataFrame(row, TABLES["run"]))
+    return outcomes
 
 
 def ingest(catalog: Catalog, target: str, workspace: str, settings: Settings = Settings()) -> DataFrame:
     return ingest_files(catalog, files.expanded(files.scan(catalog.spark, target)), workspace, settings)
 
 
-def index(catalog: Catalog, workspace: str, embedder: vectors.Embedder, rebuild: bool = False) -> int:
-    """Vectors for the chunks that have none; how many.  A repeated run goes on."""
-    spaces = catalog.read("embedding_space").where(F.col("workspace_id") == workspace)
+def index(catalog: Catalog, workspace: str, embedder: vectors.Embedder, rebuild: bool = False, settings: Settings | None = None, commit_rows: int = COMMIT_ROWS) -> int:
+    """Vectors for the chunks that have none; how many.
+
+    Chunks are committed in parts of about ``commit_rows``, so a run that is broken off
+    is gone on with from the last part.  With ``settings``, an embedder of another width
+    than they say and more than 200 chunks for each document allowed are refused before
+    anything is written."""
+    if settings is not None and embedder.dimensions != settings.embeddings.dimensions:
+        raise EmbeddingMismatch(f"{embedder.name} is {embedder.dimensions} wide, the settings say {settings.embeddings.dimensions}")
     mine = catalog.chunks().where(F.col("workspace_id") == workspace)
-    held = catalog.read("embedding").limit(1).count() > 0
-    last = spaces.orderBy(F.desc("recorded_at")).limit(1)
-    record = rebuild or dense.guard_space(last, workspace, embedder.name, embedder.dimensions, held)
+    last = catalog.space(workspace)
+    held = last is not None and last.vectors > 0
+    record = rebuild or last is None or dense.guard_space(catalog.read("embedding_space").where(F.col("generation") == last.generation), workspace, embedder.name, embedder.dimensions, held)
+    generation = uuid.uuid4().hex if record else last.generation
+    todo = dense.missing(mine, catalog.read("embedding").where(F.col("generation") == generation))
+    n = todo.count()
+    if n == 0:
+        return 0
+    if settings is not None and n > settings.budget.max_docs_per_run * CHUNKS_A_DOCUMENT:
+        raise BudgetExceeded(f"{n} chunks, more than one run may embed")
     if record:
-        generation = uuid.uuid4().hex
-        row = [(workspace, embedder.name, embedder.dimensions, generation)]
-        catalog.append("embedding_space", catalog.spark.createDataFrame(row, "workspace_id string, model string, dimensions int, generation string").withColumn("recorded_at", F.current_timestamp()))
-    else:
-        generation = last.first().generation
-    now = catalog.read("embedding").where(F.col("generation") == generation)
-    todo = dense.missing(mine, now)
-    before = now.count()
-    catalog.append("embedding", vectors.embed(todo, embedder).withColumn("generation", F.lit(generation)))
-    return catalog.read("embedding").where(F.col("generation") == generation).count() - before
+        catalog.record_space(workspace, embedder.name, embedder.dimensions, generation)
+    parts = -(-n // commit_rows)
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    todo = cut(todo.select("id", "body")) if parts > 1 else todo
+    for k in range(parts):
+        catalog.append("embedding", vectors.embed(todo.where(part == k), embedder).withColumn("generation", F.lit(generation)))
+    return n
 
 
 def search(catalog: Catalog, queries: DataFrame, embedder: vectors.Embedder | None, settings: Settings = Settings(), arms: tuple[str, ...] = ("dense", "headings", "sparse"), k: int | None = None) -> DataFrame:
     """Hybrid search for rows (query_id, text): chunks with scores and ranks."""
-    chunks = catalog.chunks().withColumn("heading", F.concat_ws(" ", "heading_path"))
+    chunks = catalog.chunks()
     stored = asked = None
     if embedder is not None and "dense" in arms:
         stored = catalog.embeddings().select(F.col("chunk_id").alias("id"), "embedding").join(chunks.select("id"), "id", "left_semi")
         asked = vectors.embed(queries, embedder, "query_id", "text").withColumnRenamed("chunk_id", "query_id")
-    ranked = hybrid.arms(chunks, "id", queries, "query_id", "body", "heading", stored, asked, settings.retrieval, arms)
+    ranked = hybrid.arms(chunks, "id", queries, "query_id", "body", None, stored, asked, settings.retrieval, tuple(a for a in fusion.check_arms(arms) if a == "dense"))
+    for arm, field in (("headings", "heading"), ("sparse", "body")):
+        if arm in arms:
+            ranked[arm] = catalog.bm25(field, queries, "query_id", settings.retrieval.sparse_k, chunks.select("id")).withColumnRenamed("chunk_id", "id")
     found = hybrid.search(ranked, "query_id", "id", k, settings.retrieval)
     told = chunks.select(F.col("id").alias("__c"), "version_id", F.col("heading_path"), "page_from", "text")
     return found.join(told, F.col("id") == F.col("__c")).drop("__c")

@@ -16,15 +16,21 @@ def _folder() -> str:
     return tempfile.mkdtemp(prefix="quern-")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir of the session; only a
+    local session may go without one set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    named = named or _folder()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; only a local session
-    may go without one set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or _folder())
+    """A reliable checkpoint in the session's shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

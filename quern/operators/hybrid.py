@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions import text
 from quern.operators import dense, fusion, lexical
 from quern.settings import Retrieval
 
@@ -16,14 +15,13 @@ def arms(chunks: DataFrame, id_: str, queries: DataFrame, query_id: str, body: s
     ``vectors`` (id, embedding) and ``query_vectors`` (query, embedding); without
     them the dense arm is left out, and without ``heading`` that arm."""
     fusion.check_arms(names)
-    asked = queries.select(query_id, text.words("text").alias("terms"))
     out = {}
     if "dense" in names and vectors is not None and query_vectors is not None:
         out["dense"] = dense.nearest_batch(vectors, id_, "embedding", query_vectors, query_id, "embedding", settings.dense_k)
     if "headings" in names and heading is not None:
-        out["headings"] = lexical.bm25(chunks.select(id_, text.words(heading).alias("terms")), id_, asked, query_id, settings.sparse_k)
+        out["headings"] = lexical.bm25(lexical.indexed(chunks, id_, heading), id_, queries, query_id, settings.sparse_k)
     if "sparse" in names:
-        out["sparse"] = lexical.bm25(chunks.select(id_, text.words(body).alias("terms")), id_, asked, query_id, settings.sparse_k)
+        out["sparse"] = lexical.bm25(lexical.indexed(chunks, id_, body), id_, queries, query_id, settings.sparse_k)
     return out
 
 

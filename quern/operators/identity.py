@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.errors import RecordError
-from quern.functions import text, vectors
+from quern.functions import text
+from quern.operators import dense
+from quern.operators.sizes import union
 
 TRIGRAM, BAND = 0.85, (0.80, 0.92)
 
@@ -96,18 +103,74 @@ def resolved_pairs(entities: DataFrame, id_: str, name: str, block: list[str], l
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
-def cosine_band(entities: DataFrame, id_: str, vector: str, block: str, band: tuple[float, float] = BAND) -> DataFrame:
+def cosine_band(entities: DataFrame, id_: str, vector: str, block: str, band: tuple[float, float] = BAND, rows: int = dense.BLOCK) -> DataFrame:
     """(a, b, similarity) within a block whose vectors' cosine lies in the band:
-    the pairs that a reviewer or model adjudicates."""
-    e = entities.where(F.col(vector).isNotNull()).select(F.col(block).alias("k"), F.col(id_).alias("a"), F.col(vector).alias("va"))
-    f = e.select(F.col("k").alias("k2"), F.col("a").alias("b"), F.col("va").alias("vb"))
-    s = F.round(vectors.cosine(F.col("va"), F.col("vb")), 6)
-    return e.join(f, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b"))).select("a", "b", s.alias("similarity")).where(F.col("similarity").between(*band))
-
-
-def decision(exact: str, alias: str, trigram: str, cosine: str) -> object:
-    """What a cascade says of a pair: exact, alias, trigram, adjudicate or review."""
-    return (
-        F.when(F.col(exact), "exact").when(F.col(alias), "alias").when(F.col(trigram) > TRIGRAM, "trigram")
-        .when(F.col(cosine) >= BAND[1], "embedding").when(F.col(cosine) >= BAND[0], "adjudicate").otherwise("distinct")
-    )
+    the pairs that a reviewer or model adjudicates.
+
+    A block is cut into parts of about ``rows`` vectors, as many as its size needs,
+    and every two parts of it are one matrix product; a pair that is not in the band
+    is never a row.  Zero vectors have similarity 0; null ids, vectors and blocks
+    are in no pair."""
+    e = entities.where(F.col(vector).isNotNull() & F.col(id_).isNotNull() & F.col(block).isNotNull()).select(F.col(block).alias("k"), F.col(id_).alias("id"), F.col(vector).alias("v"))
+    parts = e.groupBy(F.col("k").alias("__k")).agg(F.ceil(F.count("*") / rows).alias("__parts"))
+    named = e.join(parts, F.col("k") == F.col("__k")).withColumn("part", F.pmod(F.xxhash64(F.col("id").cast("string")), F.col("__parts")))
+    kind, key = e.schema["id"].dataType, e.schema["k"].dataType
+    packed = T.StructType([T.StructField("k", key), T.StructField("part", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("m", T.BinaryType())])
+
+    def pack(t: pa.Table) -> pa.Table:
+        m = np.array(t.column("v").to_pylist(), np.float64)
+        size = np.sqrt((m * m).sum(1))
+        unit = m / np.where(size > 0, size, 1.0)[:, None]
+        return pa.table({"k": t.column("k").slice(0, 1), "part": t.column("part").slice(0, 1), "ids": pa.array([t.column("id").to_pylist()], pa.list_(t.column("id").type)), "m": pa.array([unit.tobytes()], pa.binary())})
+
+    blocks = named.select("k", "part", "id", "v").groupBy("k", "part").applyInArrow(pack, packed)
+    other = blocks.select(F.col("k").alias("k2"), F.col("part").alias("part2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
+    pairs = blocks.join(other, (F.col("k") == F.col("k2")) & (F.col("part") <= F.col("part2")))
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, ids2 = batch.column(0)[r].values, batch.column(1)[r].values
+                x = np.frombuffer(batch.column(2)[r].as_py(), np.float64).reshape(len(ids), -1)
+                y = np.frombuffer(batch.column(3)[r].as_py(), np.float64).reshape(len(ids2), -1)
+                s = np.round(x @ y.T, 6)
+                i, j = np.nonzero((s >= band[0]) & (s <= band[1]))
+                if batch.column(4)[r].as_py():  # a part with itself
+                    i, j = i[i < j], j[i < j]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids2.take(pa.array(j)), pa.array(s[i, j])], names=["a", "b", "similarity"])
+
+    found = pairs.select("ids", "ids2", "m", "m2", (F.col("part") == F.col("part2")).alias("own")).mapInArrow(run, schema)
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
+STAGES = ("exact", "alias", "trigram", "embedding", "adjudicate")
+
+
+def cascade(entities: DataFrame, id_: str, name: str, kind: str, aliases: str, vectors: DataFrame | None = None, trigram: float = TRIGRAM, band: tuple[float, float] = BAND) -> DataFrame:
+    """(a, b, decision, score), a < b: what resolution says of entities of one kind.
+
+    The first stage that fits decides: exact, the same normalised name; alias, the name
+    of one is an alias of the other; trigram, names' similarity above ``trigram``;
+    embedding, cosine at the band's upper end or above; adjudicate, cosine within the
+    band, which a reviewer or model must settle.  ``vectors`` are (id, embedding).
+    Entities of one name are linked to the least id of it, which stands for them in the
+    later stages, so no stage lists all pairs of a name.  Null names and kinds, and
+    names without letters or digits, are in no pair."""
+    named = entities.where(F.col(name).isNotNull() & F.col(kind).isNotNull()).select(F.col(id_).alias("id"), F.col(kind).alias("kind"), text.normalised_name(name).alias("nn"), F.col(aliases).alias("aliases")).where("nn <> ''")
+    reps = named.groupBy("kind", "nn").agg(F.min("id").alias("rep"))
+    exact = named.join(reps, ["kind", "nn"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("stage"), F.lit(1.0).alias("score"))
+    other = reps.select(F.col("kind").alias("k2"), F.col("nn").alias("nn2"), F.col("rep").alias("rep2"))
+    told = named.select("kind", "nn", F.explode("aliases").alias("alias")).withColumn("alias", text.normalised_name("alias")).where("alias <> '' AND alias <> nn").distinct()
+    told = told.join(reps, ["kind", "nn"]).join(other, (F.col("kind") == F.col("k2")) & (F.col("alias") == F.col("nn2")))
+    alias = told.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.lit(1).alias("stage"), F.lit(1.0).alias("score"))
+    near, _ = trigram_pairs(reps, "rep", "nn", ["kind"], trigram)
+    near = near.where((F.col("nn") != F.col("nn_b")) & (F.col("similarity") > trigram)).join(reps, ["kind", "nn"]).join(other, (F.col("kind") == F.col("k2")) & (F.col("nn_b") == F.col("nn2")))
+    found = [exact, alias, near.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.lit(2).alias("stage"), F.col("similarity").alias("score"))]
+    if vectors is not None:
+        v = vectors.select(F.col(vectors.columns[0]).alias("__v"), F.col(vectors.columns[1]).alias("embedding"))
+        banded = cosine_band(reps.join(v, F.col("rep") == F.col("__v")), "rep", "embedding", "kind", (band[0], 1.0 + 1e-6))
+        found.append(banded.select("a", "b", F.when(F.col("similarity") >= band[1], 3).otherwise(4).alias("stage"), F.col("similarity").alias("score")))
+    pairs = union([f.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "stage", "score") for f in found])
+    best = pairs.groupBy("a", "b").agg(F.min(F.struct("stage", (-F.col("score")).alias("less"))).alias("m"))
+    return best.select("a", "b", F.get(F.array(*[F.lit(x) for x in STAGES]), F.col("m.stage")).alias("decision"), F.round(-F.col("m.less"), 6).alias("score"))

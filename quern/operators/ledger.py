@@ -16,6 +16,9 @@ from quern.functions import text
 REASONS = ("superseded", "contradicted", "corrected", "source_withdrawn")
 KINDS = ("new", "confirmed", "outdated", "contradicted", "action_completed", "owner_changed", "question_raised")
 
+#: The least similarity of a quote that is not held as it is.
+FUZZY = 0.95
+
 
 def rejected(assertions: DataFrame) -> DataFrame:
     """Rows that break a rule, with the rules: the rest may be appended."""
@@ -41,33 +44,22 @@ def evidence_of(assertions: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["assertion_id", "chunk_id", "quote"])
 
 
-def verify_quotes(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Adds ``verified``: the chunk holds the quote, white space and case apart."""
+def verify_quotes(evidence: DataFrame, chunks: DataFrame, least: float = FUZZY) -> DataFrame:
+    """Adds ``similarity`` and ``verified``: the chunk holds the quote, white space and
+    case apart (1.0), or some passage of the quote's length that begins at a word is as
+    near to it by edit distance as ``least`` says.  Only quotes that are not held exactly
+    are measured."""
+    plain = lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))
     c = chunks.select(F.col("id").alias("__c"), F.col("text").alias("__t"))
-    return evidence.join(c, evidence["chunk_id"] == F.col("__c"), "left").withColumn("verified", F.coalesce(text.contains_normalised(F.col("__t"), F.col("quote")), F.lit(False))).drop("__c", "__t")
-
-
-def fuzzy_quote(text_: str, quote: str) -> float:
-    """The best 1 - distance / length of the quote against windows of the text
-    that begin at a word; windows are as long as the quote."""
-    import re
-
-    t, q = re.sub(r"\s+", " ", text_.lower()), re.sub(r"\s+", " ", quote.lower()).strip()
-    if not q:
-        return 0.0
-    best = 0.0
-    for m in re.finditer(r"\b\w", t):
-        w = t[m.start() : m.start() + len(q)]
-        row = list(range(len(w) + 1))
-        for i, a in enumerate(q, 1):
-            new = [i]
-            for j, b in enumerate(w, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
-            row = new
-        best = max(best, 1 - row[-1] / len(q))
-        if best == 1:
-            break
-    return best
+    joined = evidence.join(c, evidence["chunk_id"] == F.col("__c"), "left")
+    joined = joined.withColumn("__t", plain(F.col("__t"))).withColumn("__q", F.trim(plain(F.col("quote"))))
+    size = F.char_length("__q")
+    # where each word begins, from 1: the blanks before it end there
+    begins = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length("__t"), F.lit(1))), lambda i: F.substring(F.col("__t"), i, F.lit(1)).rlike(r"\w") & ((i == 1) | ~F.substring(F.col("__t"), i - 1, F.lit(1)).rlike(r"\w")))
+    near = F.array_max(F.transform(begins, lambda i: 1 - F.levenshtein(F.substring(F.col("__t"), i, size), F.col("__q")) / size))
+    exact = F.contains("__t", "__q") & (F.col("__q") != "")
+    similarity = F.when(exact, 1.0).when(F.col("__t").isNull() | F.col("__q").isNull() | (size == 0), 0.0).otherwise(F.coalesce(F.greatest(near, F.lit(0.0)), F.lit(0.0)))
+    return joined.withColumn("similarity", F.round(similarity, 6)).withColumn("verified", F.col("similarity") >= least).drop("__c", "__t", "__q")
 
 
 def demote_unverified(assertions: DataFrame, checked: DataFrame) -> DataFrame:

@@ -1,54 +1,70 @@
-"""Lexical search: postings, corpus statistics and BM25.
+"""Lexical search: an index of stems, corpus statistics and BM25.
+
+An index has a row a text: its number of words, its distinct stems and their counts.
+It is made in one pass and written; or it is kept by ``catalog`` as postings, of which
+a search reads the buckets of its own terms.
 
 idf is ln((N - n + 0.5) / (n + 0.5)), and 1e-6 where that is not positive; a
 query term counts as often as it occurs in the query.  Corpus statistics are
 one-row joins, never collected.  All queries are answered at once; the terms
-asked for, broadcast if their number is small, decide what is shuffled.
+asked for, broadcast if they are small, decide what is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions import text
+from quern.functions import stem
+from quern.operators.graph import cut
 from quern.operators.sizes import hinted
 
 K1, B = 1.2, 0.75
+#: Folders that the postings of a field are parted into by their terms.
+BUCKETS = 64
 
 
-def postings(docs: DataFrame, id_: str, terms: str) -> DataFrame:
-    """(term, id, tf) of a table with an array of terms."""
-    return docs.select(id_, F.explode(terms).alias("term")).groupBy("term", id_).agg(F.count("*").alias("tf"))
+def indexed(df: DataFrame, id_: str, column: str) -> DataFrame:
+    """The written index of a table's texts: (id, size, terms, tfs)."""
+    return cut(stem.counted(df, id_, column))
 
 
-def tokenised(df: DataFrame, id_: str, column: str) -> DataFrame:
-    """(id, terms, size) by plain words; see functions.stem for the stemmed kind."""
-    return df.select(id_, text.words(column).alias("terms")).withColumn("size", F.size("terms"))
+def postings(index: DataFrame, id_: str) -> DataFrame:
+    """(term, id, tf, size) of an index."""
+    return index.select(id_, "size", F.explode(F.arrays_zip("terms", "tfs")).alias("__p")).select(F.col("__p.terms").alias("term"), id_, F.col("__p.tfs").alias("tf"), "size")
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("total"))
 
 
-def query_terms(queries: DataFrame, query_id: str, terms: str) -> DataFrame:
-    """(query, term, weight), weight being the term's count in the query."""
-    return queries.select(query_id, F.explode(terms).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("weight"))
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def query_terms(queries: DataFrame, query_id: str, column: str) -> DataFrame:
+    """(query, term, weight), weight being the stem's count in the query."""
+    return postings(stem.counted(queries, query_id, column), query_id).select(query_id, "term", F.col("tf").alias("weight"))
 
 
-def bm25(docs: DataFrame, id_: str, queries: DataFrame, query_id: str, k: int, scope: DataFrame | None = None) -> DataFrame:
-    """(query, id, score, rank) of the k best documents of each query.
+def bm25(index: DataFrame, id_: str, queries: DataFrame, query_id: str, k: int, scope: DataFrame | None = None, column: str = "text") -> DataFrame:
+    """(query, id, score, rank) of the k best texts of each query.
 
-    ``docs`` and ``queries`` have an array ``terms``.  ``scope``: ids that may be
-    found while statistics still come from all of ``docs``."""
-    docs = docs.select(id_, "terms", F.size("terms").alias("size"))
-    corpus = docs.agg(F.count("*").alias("__docs"), F.avg("size").alias("__avg"))
-    asked = query_terms(queries, query_id, "terms").withColumnRenamed("term", "__term")
+    ``queries`` has a text in ``column``.  ``scope``: ids that may be found while
+    statistics still come from all of the index."""
+    asked = cut(query_terms(queries, query_id, column))
+    corpus = index.agg(F.count("*").alias("__docs"), F.avg("size").alias("__avg"))
     # only postings of terms that are asked for are counted and shuffled
-    wanted = hinted(asked.select(F.col("__term").alias("__u")).distinct())
-    words = docs.select(id_, "size", F.explode("terms").alias("term"))
-    posted = words.join(wanted, F.col("term") == F.col("__u"), "left_semi").groupBy("term", id_, "size").agg(F.count("*").alias("tf"))
-    hits = posted.join(asked, F.col("term") == F.col("__term"))
+    wanted = hinted(asked.select(F.col("term").alias("__u")).distinct())
+    posted = postings(index, id_).join(wanted, F.col("term") == F.col("__u"), "left_semi")
+    return scored(posted, corpus, asked, id_, query_id, k, scope)
+
+
+def scored(posted: DataFrame, corpus: DataFrame, asked: DataFrame, id_: str, query_id: str, k: int, scope: DataFrame | None = None) -> DataFrame:
+    """The ranking from postings (term, id, tf, size) of the terms asked for and one
+    row (__docs, __avg) of the corpus."""
+    asked = asked.withColumnRenamed("term", "__term")
+    hits = posted.join(hinted(asked), F.col("term") == F.col("__term"))
     if scope is not None:
         hits = hits.join(scope.select(F.col(scope.columns[0]).alias("__s")).distinct(), F.col(id_) == F.col("__s"), "left_semi")
     n = posted.groupBy(F.col("term").alias("__t")).agg(F.count("*").alias("__n"))
@@ -56,8 +72,8 @@ def bm25(docs: DataFrame, id_: str, queries: DataFrame, query_id: str, k: int, s
     idf = F.when(raw > 0, raw).otherwise(1e-6)
     tf = F.col("tf")
     part = F.col("weight") * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("__avg")))
-    scored = hits.join(n, F.col("term") == F.col("__t")).crossJoin(F.broadcast(corpus)).groupBy(query_id, id_).agg(F.round(F.sum(part), 9).alias("score"))
-    return top(scored, query_id, id_, k)
+    sums = hits.join(n, F.col("term") == F.col("__t")).crossJoin(F.broadcast(corpus)).groupBy(query_id, id_).agg(F.round(F.sum(part), 9).alias("score"))
+    return top(sums, query_id, id_, k)
 
 
 def top(scored: DataFrame, query_id: str, id_: str, k: int) -> DataFrame:

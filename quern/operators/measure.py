@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.errors import GoldenError
-from quern.operators.sizes import union
+from quern.functions import text
+from quern.operators.sizes import hinted, union
 
 SHAPES = ("lookup", "comparison", "temporal", "unanswerable")
 KS = (5, 20)
@@ -60,6 +61,28 @@ def resolve_quotes(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     return quotes.join(c, quotes["document"] == F.col("__d")).where(F.contains(F.col("__t"), F.col("quote"))).select("question_id", "chunk_id").distinct()
 
 
+def resolve_anywhere(quotes: DataFrame, docs: DataFrame, quote_id: str, id_: str, quote: str = "text", body: str = "text") -> DataFrame:
+    """(quote_id, id) of the documents that hold a quote as it is written.
+
+    A quote's inner words, those with something before and after them, stand whole in
+    every text that holds it; so the longest of them is joined with the texts' words
+    and what meets is verified.  Only quotes without an inner word are sought in every
+    text.  Null and empty quotes and null ids are in no row; repeats count once."""
+    q = quotes.where(F.col(quote_id).isNotNull() & (F.col(quote) != "")).select(F.col(quote_id).alias("__q"), F.col(quote).alias("__quote"))
+    words = F.regexp_extract_all("__quote", F.lit(rf"({text.WORD})"), F.lit(1))
+    # the first and the last word may be parts of longer ones
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    q = q.withColumn("__w", longest)
+    d = docs.where(F.col(id_).isNotNull()).select(F.col(id_).alias("__d"), F.col(body).alias("__body"))
+    own = d.select("__d", "__body", F.explode(F.array_distinct(F.regexp_extract_all("__body", F.lit(rf"({text.WORD})"), F.lit(1)))).alias("__own"))
+    some = own.join(hinted(q.where("__w IS NOT NULL")), F.col("__own") == F.col("__w")).where(F.contains("__body", "__quote")).select("__q", "__d")
+    short = q.where("__w IS NULL")
+    if not short.isEmpty():
+        some = union([some, d.join(hinted(short), F.contains("__body", "__quote")).select("__q", "__d")])
+    return some.distinct().select(F.col("__q").alias(quote_id), F.col("__d").alias(id_))
+
+
 def unresolved(quotes: DataFrame, resolved: DataFrame) -> DataFrame:
     r = resolved.select(F.col("question_id").alias("__q"))
     return quotes.join(r, quotes["question_id"] == F.col("__q"), "left_anti")

@@ -8,9 +8,12 @@ model instead of a reader, are reported for quarantine; the text keeps the latte
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,6 +55,23 @@ def invisible(c: str) -> bool:
     return o in ZERO_WIDTH or o in BIDI or 0xE0000 <= o <= 0xE007F or unicodedata.category(c) in ("Cc", "Cf")
 
 
+@cache
+def _special() -> re.Pattern:
+    """Characters that go or change: no other takes any work."""
+    points = [o for o in range(sys.maxunicode + 1) if invisible(c := chr(o)) or unicodedata.decomposition(c) and unicodedata.normalize("NFKC", c) != c]
+    runs: list[list[int]] = []
+    for o in points:
+        if runs and o == runs[-1][1] + 1:
+            runs[-1][1] = o
+        else:
+            runs.append([o, o])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+
+
+#: What has only these needs no look at the large class.
+_PLAIN = re.compile(r"[\t\n\r -~]*\Z")
+
+
 def merge_spans(spans: list[Span], text: str) -> list[Span]:
     """Overlapping or touching spans of one reason become one."""
     out: list[Span] = []
@@ -74,26 +94,29 @@ def merge_spans(spans: list[Span], text: str) -> list[Span]:
 def sanitise(raw: str, headings: list[tuple[int, int, str]] = (), page_offsets: list[int] = (), warnings: list[str] = ()) -> Clean:
     """``headings`` are (start, level, text); ``warnings`` of the form
     hidden:<offset>:<text> become quarantined points."""
-    if raw.isascii() and raw.isprintable():
-        kept, marks, removed = raw, None, []
-    else:
-        parts, marks, removed, size, gone = [], [0] * (len(raw) + 1), [], 0, ""
-        for i, c in enumerate(raw):
-            marks[i] = size
-            if invisible(c):
-                gone += c
-                continue
-            if gone:
-                removed.append((size, gone))
-                gone = ""
-            new = c if c.isascii() else "".join(x for x in unicodedata.normalize("NFKC", c) if not invisible(x))
-            parts.append(new)
-            size += len(new)
-        if gone:
-            removed.append((size, gone))
-        marks[len(raw)] = size
-        kept = "".join(parts)
-    move = (lambda o: min(o, len(kept))) if marks is None else (lambda o: marks[min(max(o, 0), len(raw))])
+    kept, removed = raw, []
+    places, grown = [], [0]  # where a character went or changed, and how far later ones have moved
+    if not _PLAIN.match(raw):
+        parts, done, run = [], 0, -2
+        for m in _special().finditer(raw):
+            i, c = m.start(), m.group()
+            hidden = invisible(c)
+            new = "" if hidden else "".join(x for x in unicodedata.normalize("NFKC", c) if not invisible(x))
+            if hidden and run == i - 1:
+                removed[-1] = (removed[-1][0], removed[-1][1] + c)
+            elif hidden:
+                removed.append((i + grown[-1], c))
+            run = i if hidden else -2
+            parts += [raw[done:i], new]
+            done = i + 1
+            places.append(i)
+            grown.append(grown[-1] + len(new) - 1)
+        kept = "".join([*parts, raw[done:]])
+
+    def move(o: int) -> int:
+        o = min(max(o, 0), len(raw))
+        return o + grown[bisect_left(places, o)]
+
     spans = [Span(at, at, "invisible_character", gone) for at, gone in removed]
     left = []
     for w in warnings:

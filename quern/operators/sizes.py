@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS = 100_000
+BYTES = 64 << 20
 
 
-def hinted(df: DataFrame, rows: int = ROWS) -> DataFrame:
-    """A broadcast hint behind a count; beyond it Spark chooses."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def hinted(df: DataFrame, size: int = BYTES) -> DataFrame:
+    """A broadcast hint behind a check of the table's bytes; beyond ``size`` Spark chooses."""
+    wide = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(wide.cast("long")), F.lit(0))).first()[0] <= size else df
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

@@ -26,6 +26,14 @@ def cosine_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.cosine_band(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", (0.3, 0.6))
 
 
+def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand through all stages: a part's alias is its first word with
+    "widget", its vector the one of its number."""
+    p = table(spark, sf_dir, "part").withColumn("aliases", F.array(F.concat(F.substring_index("p_name", " ", 1), F.lit(" Widget!"))))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return identity.cascade(p, "p_partkey", "p_name", "p_brand", "aliases", v, 0.5, (0.2, 0.3))
+
+
 def _merges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parts of one brand and name merge into the first of them; merges of another
     size than the first's are taken back."""
@@ -104,7 +112,7 @@ def graph_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.to_graphml(nodes, _named(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (entity_block, trigram_pairs, cosine_band, soft_merge, merge_root, neighbours_1hop, neighbours_2hop, cooccurrence_without_edge, graph_json, graph_mermaid, graph_cypher, graph_graphml)}
+QUERIES = {f.__name__: f for f in (entity_block, trigram_pairs, cosine_band, cascade, soft_merge, merge_root, neighbours_1hop, neighbours_2hop, cooccurrence_without_edge, graph_json, graph_mermaid, graph_cypher, graph_graphml)}
 
 _NAME = r"trim(regexp_replace(lower(regexp_replace(p_name, '[^\p{L}\p{N}\s]', '', 'g')), '\s+', ' ', 'g'))"
 _EDGES = """
@@ -124,6 +132,18 @@ SELECT p_brand, a, b, round(c / (s - c), 6) AS similarity FROM j WHERE round(c /
 WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS similarity
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
 SELECT a, b, similarity FROM d WHERE similarity BETWEEN 0.3 AND 0.6
+""",
+    "cascade": f"""
+WITH n AS (SELECT p_partkey AS id, p_brand AS kind, {_NAME} AS nn, string_split(p_name, ' ')[1] || ' Widget!' AS alias FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL),
+r AS (SELECT kind, nn, min(id) AS rep FROM n WHERE nn <> '' GROUP BY kind, nn),
+t AS (SELECT *, list_distinct(list_transform(range(1, length(nn) + 2), lambda i: substr('  ' || nn || ' ', i, 3))) AS g FROM r),
+v AS (SELECT t.*, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM t JOIN embeddings ON vec_id = rep),
+s AS (SELECT rep AS a, id AS b, 0 AS stage, 1.0 AS score FROM n JOIN r USING (kind, nn) WHERE id <> rep
+  UNION ALL SELECT x.rep, y.rep, 1, 1.0 FROM (SELECT kind, nn, trim(regexp_replace(lower(regexp_replace(alias, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')), '\\s+', ' ', 'g')) AS alias FROM n) n JOIN r x USING (kind, nn) JOIN r y ON y.kind = n.kind AND y.nn = n.alias WHERE x.rep <> y.rep
+  UNION ALL SELECT a, b, 2, c FROM (SELECT x.rep AS a, y.rep AS b, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 6) AS c FROM t x JOIN t y ON x.kind = y.kind AND x.nn < y.nn) WHERE c > 0.5
+  UNION ALL SELECT a, b, CASE WHEN c >= 0.3 THEN 3 ELSE 4 END, c FROM (SELECT x.rep AS a, y.rep AS b, round(list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)), 6) AS c FROM v x JOIN v y ON x.kind = y.kind AND x.rep < y.rep) WHERE c >= 0.2),
+o AS (SELECT least(a, b) AS a, greatest(a, b) AS b, stage, CAST(score AS DOUBLE) AS score FROM s)
+SELECT a, b, ['exact', 'alias', 'trigram', 'embedding', 'adjudicate'][stage + 1] AS decision, score FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY stage, score DESC) AS k FROM o) WHERE k = 1
 """,
     "soft_merge": """
 WITH p AS (SELECT p_partkey AS id, p_size, first_value(p_partkey) OVER w AS win, first_value(p_size) OVER w AS sw FROM part WINDOW w AS (PARTITION BY p_brand, p_name ORDER BY p_partkey))

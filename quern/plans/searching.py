@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import stem, text, vectors
-from quern.operators import dense, fusion, hybrid, lexical, measure
-from quern.operators.sizes import hinted
+from quern.catalog import Catalog
+from quern.functions import stem, vectors
+from quern.operators import dense, fusion, graph, hybrid, lexical, measure
+from quern.plans import stems
 from quern.plans.tables import table
 from quern.settings import Retrieval
 
@@ -19,8 +22,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", text.words("text").alias("terms"))
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.indexed(_docs(spark, sf_dir), "doc_id", "text")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,32 +31,42 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(_terms(spark, sf_dir), "doc_id", "terms")
+    return lexical.postings(stem.counted(_docs(spark, sf_dir), "doc_id", "text"), "doc_id").select("doc_id", "term", "tf", "size")
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.term_stats(postings(spark, sf_dir))
 
 
-def stemmed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(_docs(spark, sf_dir).select("doc_id", stem.stemmed("text").alias("terms")), "doc_id", "terms")
+def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stems of each turn, in order."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(stem.stemmed("text"), " ").alias("stems"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), text.words(F.lit(QUERY)).alias("terms"))
-    return lexical.bm25(_terms(spark, sf_dir), "doc_id", q, "query_id", K).select("doc_id", "score", "rank")
+    q = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(QUERY).alias("text"))
+    return lexical.bm25(_index(spark, sf_dir), "doc_id", q, "query_id", K).select("doc_id", "score", "rank")
 
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(_terms(spark, sf_dir), "doc_id", _asked(spark, sf_dir).select("item_id", text.words("text").alias("terms")), "item_id", K)
+    return lexical.bm25(_index(spark, sf_dir), "doc_id", _asked(spark, sf_dir), "item_id", K)
+
+
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search from stored postings: written by the bucket of their terms, of
+    which the search reads its own."""
+    store = Catalog(spark, f"{graph.shared(spark)}/searching-{uuid.uuid4().hex}")
+    store.index_texts(_docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.lit("body").alias("field"), "text"))
+    found = store.bm25("body", _asked(spark, sf_dir), "item_id", K)
+    return found.select("item_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
 def heading_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of a turn: its role and its conversation."""
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_key"), F.array(F.col("role"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))).alias("heading_path"))
-    terms = rows.select("turn_key", text.words(F.concat_ws(" ", "heading_path")).alias("terms"))
-    q = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), text.words(F.lit("assistant conversation 7")).alias("terms"))
-    return lexical.bm25(terms, "turn_key", q, "query_id", K).select("turn_key", "score", "rank")
+    index = lexical.indexed(rows.select("turn_key", F.concat_ws(" ", "heading_path").alias("heading")), "turn_key", "heading")
+    q = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit("assistants in conversations: 7").alias("text"))
+    return lexical.bm25(index, "turn_key", q, "query_id", K).select("turn_key", "score", "rank")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +118,7 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def golden_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, document) where the whole item stands in the document."""
-    asked = hinted(_asked(spark, sf_dir).where("text <> ''").select("item_id", F.col("text").alias("quote")))
-    return _docs(spark, sf_dir).join(asked, F.contains("text", "quote")).select("item_id", "doc_id")
+    return measure.resolve_anywhere(_asked(spark, sf_dir), _docs(spark, sf_dir), "item_id", "doc_id")
 
 
 def golden_unanswerable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +128,7 @@ def golden_unanswerable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recall@5 and @20, nDCG@10 and reciprocal rank of body search."""
-    q = _asked(spark, sf_dir).select("item_id", text.words("text").alias("terms"))
-    ranked = lexical.bm25(_terms(spark, sf_dir), "doc_id", q, "item_id", 50)
+    ranked = lexical.bm25(_index(spark, sf_dir), "doc_id", _asked(spark, sf_dir), "item_id", 50)
     return measure.score(ranked, golden_resolve(spark, sf_dir), "item_id", "doc_id")
 
 
@@ -131,18 +142,23 @@ def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.compare_arms(a, golden_resolve(spark, sf_dir), "item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (postings, term_stats, stemmed_postings, bm25_topk, bm25_batch, heading_topk, dense_topk, dense_topk_batch, embedding_norms, missing_vectors, rrf, explain, rerank_overlap, golden_resolve, golden_unanswerable, retrieval_scores, macro_mean, arm_comparison)}
+QUERIES = {f.__name__: f for f in (postings, term_stats, stemmed_terms, bm25_topk, bm25_batch, bm25_stored, heading_topk, dense_topk, dense_topk_batch, embedding_norms, missing_vectors, rrf, explain, rerank_overlap, golden_resolve, golden_unanswerable, retrieval_scores, macro_mean, arm_comparison)}
 QUERIES["hybrid"] = search_hybrid
 
-_DOC_TERMS = r"SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS terms FROM documents WHERE doc_id IS NOT NULL"
-_ITEM_TERMS = r"SELECT item_id AS q, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS terms FROM benchmark WHERE item_id IS NOT NULL"
+_DOC_TERMS = f"SELECT doc_id AS id, {stems.WORDS.format('text')} AS terms FROM documents WHERE doc_id IS NOT NULL"
+_ITEM_TERMS = f"SELECT item_id AS q, {stems.WORDS.format('text')} AS terms FROM benchmark WHERE item_id IS NOT NULL"
+
+
+def _stems(of: str) -> str:
+    return stems.stems(f"SELECT DISTINCT unnest(terms) AS word FROM ({of})")
 
 
 def _bm25_sql(name: str, docs: str, asked: str, k: int) -> str:
     """Common table expressions; the last is ``name`` (q, id, score, rank)."""
     return f"""
-{name}_d AS ({docs}), {name}_q AS (SELECT q, term, count(*) AS w FROM (SELECT q, unnest(terms) AS term FROM ({asked})) GROUP BY q, term),
-{name}_p AS (SELECT id, n, term, count(*) AS tf FROM (SELECT id, len(terms) AS n, unnest(terms) AS term FROM {name}_d) GROUP BY id, n, term),
+{name}_d AS ({docs}), {name}_a AS ({asked}), {name}_x AS ({_stems(f"SELECT terms FROM {name}_d UNION ALL SELECT terms FROM {name}_a")}),
+{name}_q AS (SELECT q, stem AS term, count(*) AS w FROM (SELECT q, unnest(terms) AS word FROM {name}_a) JOIN {name}_x USING (word) GROUP BY q, stem),
+{name}_p AS (SELECT id, n, stem AS term, count(*) AS tf FROM (SELECT id, len(terms) AS n, unnest(terms) AS word FROM {name}_d) JOIN {name}_x USING (word) GROUP BY id, n, stem),
 {name}_c AS (SELECT count(*) AS big_n, avg(len(terms)) AS av FROM {name}_d),
 {name}_n AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
 {name}_s AS (SELECT q, id, round(sum(w * CASE WHEN ln((big_n - df + 0.5) / (df + 0.5)) > 0 THEN ln((big_n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / av))), 9) AS score
@@ -159,7 +175,7 @@ dense_s AS (SELECT b.item_id AS q, e.vec_id AS id, round({_dot('e.embedding', 'v
   FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id, embeddings e),
 dense AS (SELECT * FROM (SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INT) AS rank FROM dense_s) WHERE rank <= 50)"""
 _SPARSE_SQL = _bm25_sql("sparse", _DOC_TERMS, _ITEM_TERMS, 50)
-_HEAD_SQL = _bm25_sql("headings", r"SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', lang, source)), '[\p{L}\p{N}]+') AS terms FROM documents WHERE doc_id IS NOT NULL", _ITEM_TERMS, 50)
+_HEAD_SQL = _bm25_sql("headings", f"SELECT doc_id AS id, {stems.WORDS.format("concat_ws(' ', lang, source)")} AS terms FROM documents WHERE doc_id IS NOT NULL", _ITEM_TERMS, 50)
 
 
 def _rrf_sql(arms: tuple[str, ...], limit: int) -> str:
@@ -181,13 +197,19 @@ FROM (SELECT q, count(*) AS n FROM gold GROUP BY q) t LEFT JOIN (SELECT q, count
 
 _MEANS = "round(avg(recall_at_5), 6) AS recall_at_5, round(avg(recall_at_20), 6) AS recall_at_20, round(avg(ndcg_at_10), 6) AS ndcg_at_10, round(avg(rr), 6) AS rr"
 _ALL_ARMS = f"WITH {_DENSE_SQL}, {_SPARSE_SQL}, {_HEAD_SQL}, {_rrf_sql(('dense', 'headings', 'sparse'), 30)}"
-_TERMS_SQL = f"t AS (SELECT id AS doc_id, unnest(terms) AS term FROM ({_DOC_TERMS}))"
+_TERMS_SQL = f"d AS ({_DOC_TERMS}), x AS ({_stems('SELECT terms FROM d')}), t AS (SELECT id AS doc_id, size, stem AS term FROM (SELECT id, len(terms) AS size, unnest(terms) AS word FROM d) JOIN x USING (word))"
 SQL = {
-    "postings": f"WITH {_TERMS_SQL} SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term",
+    "postings": f"WITH {_TERMS_SQL} SELECT doc_id, term, CAST(count(*) AS INT) AS tf, CAST(size AS INT) AS size FROM t GROUP BY doc_id, term, size",
     "term_stats": f"WITH {_TERMS_SQL} SELECT term, count(DISTINCT doc_id) AS n, count(*) AS total FROM t GROUP BY term",
-    "bm25_topk": f"WITH {_bm25_sql('r', _DOC_TERMS, rf"SELECT 0 AS q, regexp_extract_all('{QUERY}', '[\p{{L}}\p{{N}}]+') AS terms", K)} SELECT id AS doc_id, score, rank FROM r",
+    "stemmed_terms": f"""
+WITH d AS (SELECT conv_id, turn, {stems.WORDS.format('text')} AS terms FROM conversations), x AS ({_stems('SELECT terms FROM d')}),
+t AS (SELECT conv_id, turn, unnest(terms) AS word, generate_subscripts(terms, 1) AS i FROM d)
+SELECT d.conv_id, d.turn, coalesce(s, '') AS stems FROM d LEFT JOIN (SELECT conv_id, turn, string_agg(stem, ' ' ORDER BY i) AS s FROM t JOIN x USING (word) GROUP BY conv_id, turn) USING (conv_id, turn)
+""",
+    "bm25_topk": f"WITH {_bm25_sql('r', _DOC_TERMS, f"SELECT 0 AS q, {stems.WORDS.format(repr(QUERY))} AS terms", K)} SELECT id AS doc_id, score, rank FROM r",
     "bm25_batch": f"WITH {_bm25_sql('r', _DOC_TERMS, _ITEM_TERMS, K)} SELECT q AS item_id, id AS doc_id, score, rank FROM r",
-    "heading_topk": "WITH " + _bm25_sql("r", r"SELECT conv_id || ':' || turn AS id, regexp_extract_all(lower(role || ' conversation ' || conv_id), '[\p{L}\p{N}]+') AS terms FROM conversations", "SELECT 0 AS q, ['assistant', 'conversation', '7'] AS terms", K) + " SELECT id AS turn_key, score, rank FROM r",
+    "bm25_stored": f"WITH {_bm25_sql('r', _DOC_TERMS, _ITEM_TERMS, K)} SELECT q AS item_id, id AS doc_id, score, rank FROM r",
+    "heading_topk": "WITH " + _bm25_sql("r", f"SELECT conv_id || ':' || turn AS id, {stems.WORDS.format("role || ' conversation ' || conv_id")} AS terms FROM conversations", f"SELECT 0 AS q, {stems.WORDS.format("'assistants in conversations: 7'")} AS terms", K) + " SELECT id AS turn_key, score, rank FROM r",
     "dense_topk": f"""
 WITH q AS (SELECT list_transform(range(64), lambda i: CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS q)
 SELECT vec_id, round({_dot('embedding', 'q')} / (sqrt({_dot('embedding', 'embedding')}) * sqrt({_dot('q', 'q')})), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT {K}

@@ -96,7 +96,11 @@ def doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meeting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("held by the "), F.initcap(F.regexp_replace("p_name", "[^a-zA-Z ]", "")), F.lit(" Scrutiny Committee today"))
+    """Bodies with up to four words of a name before them, and with none."""
+    bodies = ("Scrutiny Committee", "Sub-Committee", "Working Group", "Task Force")
+    body = F.get(F.array(*[F.lit(x) for x in bodies]), F.pmod("p_size", F.lit(4)))
+    name = F.when(F.col("p_type") == "SMALL", F.lit("")).otherwise(F.concat(F.initcap(F.regexp_replace("p_name", "[^a-zA-Z ]", "")), F.lit(" ")))
+    line = F.concat(F.lit("held by the "), name, body, F.lit(" today"))
     return table(spark, sf_dir, "part").select("p_partkey", metadata.meeting(line, F.lit("")).alias("meeting_or_project"))
 
 
@@ -138,8 +142,8 @@ SELECT user_id, min(a) AS start, max(b) AS "end", count(*) AS n_spans FROM g GRO
     "published_date": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS published_at FROM orders",
     "doc_type": "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'minutes' WHEN 1 THEN 'agenda' WHEN 2 THEN 'policy' WHEN 3 THEN 'briefing' ELSE CASE WHEN p_type = 'SMALL' THEN 'register' END END AS doc_type FROM part",
     "meeting": r"""
-WITH w AS (SELECT p_partkey, list_filter(string_split(regexp_replace(p_name, '[^a-zA-Z ]', '', 'g'), ' '), lambda x: x <> '') AS w FROM part)
-SELECT p_partkey, array_to_string(list_transform(w[-3:], lambda x: upper(x[1]) || lower(x[2:])), ' ') || ' Scrutiny Committee' AS meeting_or_project FROM w
+WITH w AS (SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN [] ELSE list_filter(string_split(regexp_replace(p_name, '[^a-zA-Z ]', '', 'g'), ' '), lambda x: x <> '') END AS w, ['Scrutiny Committee', 'Sub-Committee', 'Working Group', 'Task Force'][p_size % 4 + 1] AS body FROM part)
+SELECT p_partkey, array_to_string(list_concat(list_transform(w[CASE WHEN body LIKE 'Scrutiny%' THEN -3 ELSE -4 END:], lambda x: upper(x[1]) || lower(x[2:])), [body]), ' ') AS meeting_or_project FROM w
 """,
     "coverage": """
 WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1)

@@ -8,7 +8,6 @@ from datetime import datetime
 import pytest
 
 from quern.errors import EmbeddingMismatch, GoldenError, LedgerError, NotFound, RecordError
-from quern.functions.stem import stemmed
 from quern.operators import dense, fusion, graph, identity, ledger, lexical, measure, reports, spans, versions
 
 
@@ -17,9 +16,9 @@ def rows(df):
 
 
 def test_bm25_acceptance_values(spark):
-    docs = spark.createDataFrame([(1, "the council budget was approved for budgets"), (2, "refuse collection budget"), (3, "the footbridge decision SCC/2026/114 recorded"), (4, "foo_bar baz café"), (5, "budget budget budget approval of running runners")], "id long, text string").select("id", stemmed("text").alias("terms"))
-    asked = spark.createDataFrame([("budget", "budget"), ("twice", "budget budget"), ("refuse", "refuse"), ("footbridge", "footbridge"), ("the", "the"), ("cafe", "cafe"), ("runner", "runner")], "q string, text string").select("q", stemmed("text").alias("terms"))
-    got = {(r.q, r.id): r.score for r in lexical.bm25(docs, "id", asked, "q", 5).collect()}
+    docs = spark.createDataFrame([(1, "the council budget was approved for budgets"), (2, "refuse collection budget"), (3, "the footbridge decision SCC/2026/114 recorded"), (4, "foo_bar baz café"), (5, "budget budget budget approval of running runners")], "id long, text string")
+    asked = spark.createDataFrame([("budget", "budget"), ("twice", "budget budget"), ("refuse", "refuse"), ("footbridge", "footbridge"), ("the", "the"), ("cafe", "cafe"), ("runner", "runner")], "q string, text string")
+    got = {(r.q, r.id): r.score for r in lexical.bm25(lexical.indexed(docs, "id", "text"), "id", asked, "q", 5).collect()}
     assert got["refuse", 2] == pytest.approx(1.356203, abs=1e-6) and got["footbridge", 3] == pytest.approx(0.996679, abs=1e-6)
     assert got["the", 1] == pytest.approx(0.305253, abs=1e-6) == got["the", 3] or got["the", 3] > 0
     assert got["cafe", 4] == pytest.approx(1.244017, abs=1e-6) and got["runner", 5] == pytest.approx(0.996679, abs=1e-6)
@@ -146,3 +145,40 @@ def test_coverage_of_nothing(spark):
 
 def test_ndcg_ideal():
     assert sum(1 / math.log2(i + 1) for i in (1, 2, 3)) == pytest.approx(2.13093, abs=1e-5)
+
+
+def test_quotes_are_found_anywhere(spark):
+    docs = spark.createDataFrame([(1, "the long river runs"), (2, "a longriver run"), (3, None), (None, "the long river runs"), (4, "")], "doc_id long, text string")
+    quotes = spark.createDataFrame([("a", "e long river r"), ("b", "river"), ("c", ""), ("d", None), ("e", "the River long"), (None, "river"), ("a", "e long river r")], "item_id string, text string")
+    assert rows(measure.resolve_anywhere(quotes, docs, "item_id", "doc_id")) == [("a", 1), ("b", 1), ("b", 2)]
+
+
+def test_quotes_are_verified_by_distance(spark):
+    import itertools
+
+    chunks = spark.createDataFrame([("c", "The council  approved the budget today"), ("d", "Nothing of that. (The cuoncil aproved) it"), ("e", None)], "id string, text string")
+    quotes = ["approved the BUDGET", "approved teh budget today", "the council approved", " ", None, "x"]
+    evidence = spark.createDataFrame([(c, q) for c, q in itertools.product("cdez", quotes)], "chunk_id string, quote string")
+    got = {(r.chunk_id, r.quote): (r.similarity, r.verified) for r in ledger.verify_quotes(evidence, chunks).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    for c, text in (("c", "the council approved the budget today"), ("d", "nothing of that. (the cuoncil aproved) it")):
+        for q in quotes[:3]:
+            p = q.lower()
+            best = 1.0 if p in text else max(1 - distance(text[i : i + len(p)], p) / len(p) for i in range(len(text)) if text[i].isalnum() and (i == 0 or not text[i - 1].isalnum()))
+            assert got[c, q] == (pytest.approx(best, abs=1e-6), best >= 0.95)
+    assert all(got[c, q] == (0.0, False) for c in "cdez" for q in (" ", None)) and got["e", "x"] == got["z", "x"] == (0.0, False)
+
+
+def test_a_cascade_of_resolution(spark):
+    e = spark.createDataFrame([(1, "t", "The Old Harbour Board Office", ["Harbour Authority"]), (2, "t", "the old harbour board office!", None), (3, "t", "Harbour Authority", None), (4, "t", "The Old Harbour Board Offices", None), (5, "u", "The Old Harbour Board Office", None), (6, "t", "Quay", None), (7, "t", "Dock", None), (8, "t", "Pier", None), (9, "t", None, None)], "id long, kind string, name string, aliases array<string>")
+    v = spark.createDataFrame([(6, [1.0, 0.0]), (7, [0.99, 0.1]), (8, [0.85, 0.53])], "id long, embedding array<double>")
+    got = {(r.a, r.b): r.decision for r in identity.cascade(e, "id", "name", "kind", "aliases", v).collect()}
+    assert got == {(1, 2): "exact", (1, 3): "alias", (1, 4): "trigram", (6, 7): "embedding", (6, 8): "adjudicate", (7, 8): "adjudicate"}

@@ -7,12 +7,13 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern import cli, intake, settings
 from quern.catalog import Catalog
 from quern.errors import BudgetExceeded, ConfigError, EmbeddingMismatch
 from quern.functions.embed import HashEmbedder
-from quern.operators import chunking
+from quern.operators import chunking, lexical
 from quern.streaming import refresh
 
 NOTES = {
@@ -53,7 +54,7 @@ def test_ingest_index_search(spark, corpus, tmp_path):
     assert got == {"cabinet/minutes.md": "ingested", "notes/site.txt": "ingested", "register.csv": "ingested", "bad.json": "failed", "trick.html": "ingested", "pack.zip!in/email.eml": "ingested", "evil.zip": "failed"}
     docs = {r.external_id: r for r in store.documents().collect()}
     m = docs["cabinet/minutes.md"]
-    assert m.title == "Cabinet minutes" and str(m.published_at) == "2024-03-05" and m.doc_type == "minutes" and m.meeting_or_project.endswith("Harbour Scrutiny Committee")
+    assert m.title == "Cabinet minutes" and str(m.published_at) == "2024-03-05" and m.doc_type == "minutes" and m.meeting_or_project == "Cabinet"
     assert str(docs["pack.zip!in/email.eml"].published_at) == "2024-01-02"
     assert {r.reason for r in store.read("quarantine").collect()} >= {"hidden_text"}
     assert chunking.slice_back_failures(store.read("chunk"), store.read("version")).count() == 0
@@ -74,6 +75,28 @@ def test_ingest_index_search(spark, corpus, tmp_path):
         hits = {r.query_id: r.text for r in intake.search(store, q, model).where("rank = 1").collect()}
         assert "SCC/2026/114" in hits["q"] and "Refuse collection" in hits["r"]
     assert intake.index(store, "default", HashEmbedder(32), rebuild=True) > 0
+    # stems meet other forms; what was replaced is not found
+    more = spark.createDataFrame([("s", "the budgets approves"), ("t", "stones"), ("n", "another")], "query_id string, text string")
+    found = {(r.query_id, r.text) for r in intake.search(store, more, None, arms=("sparse",)).collect()}
+    assert any("budget was approved" in t for q, t in found if q == "s") and any("needs stone" in t for q, t in found if q == "t") and not [t for q, t in found if q == "n"]
+    assert "Cabinet minutes" in {r.heading_path[0] for r in intake.search(store, spark.createDataFrame([("h", "minute of cabinets")], "query_id string, text string"), None, arms=("headings",)).collect()}
+    # the stored index ranks as one made from the chunks does
+    asked = spark.createDataFrame([("a", "budget footbridge stone note of the"), ("b", "harbour")], "query_id string, text string")
+    chunks = store.chunks(True)
+    direct = lexical.bm25(lexical.indexed(chunks, "id", "text"), "id", asked, "query_id", 10, store.chunks().select("id"))
+    assert sorted(map(tuple, store.bm25("body", asked, "query_id", 10, store.chunks().select("id")).collect())) == sorted(map(tuple, direct.collect()))
+    # runs and their events
+    assert store.read("run").count() == 4 and {r.kind for r in store.read("change_event").collect()} == {"new", "outdated"}
+    first = store.read("run").orderBy("started_at").first()
+    assert first.outcomes == {"ingested": 5, "failed": 2} and store.read("change_event").where(F.col("run_id") == first.id).count() == 5
+    # spaces: counted, cleared, refused by settings, resumed in parts
+    s32 = store.space("default")
+    assert s32.dimensions == 32 and s32.vectors == store.chunks().count()
+    store.clear_embeddings("default")
+    assert store.space("default") is None and store.embeddings().count() == 0
+    with pytest.raises(EmbeddingMismatch):
+        intake.index(store, "default", HashEmbedder(16), settings=settings.Settings())
+    assert intake.index(store, "default", e, commit_rows=2) == store.chunks().count() == store.embeddings().count() and intake.index(store, "default", e) == 0
     with pytest.raises(BudgetExceeded):
         intake.ingest(Catalog(spark, str(tmp_path / "other")), str(corpus), "default", settings.Settings.of({"budget": {"max_docs_per_run": 2}}))
 
@@ -89,8 +112,6 @@ def test_stream_equals_batch_and_replays_change_nothing(spark, corpus, tmp_path)
 
 
 def test_event_streams_equal_batch(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     e = spark.range(300).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id * 7 % 600 AS INT)) AS ts", "id % 5 AS user_id", "CASE WHEN id % 2 = 0 THEN 'view' ELSE 'click' END AS event_type", "CAST(id AS double) AS value")
     folder = str(tmp_path / "events")
     e.repartition(4).write.parquet(folder)
