@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import ledgering, reporting, resolving, searching, textual, versioning
+from quern.plans import ledgering, reading, reporting, resolving, searching, textual, versioning
 
-PARTS = (versioning, textual, searching, ledgering, resolving, reporting)
+PARTS = (versioning, reading, textual, searching, ledgering, resolving, reporting)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
