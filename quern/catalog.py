@@ -128,7 +128,7 @@ class Catalog:
             index = lexical.indexed(own, "chunk_id", "text").withColumn("field", F.lit(row.field))
             self._write("length", index.select("chunk_id", "size", "field"))
             posted = lexical.postings(index, "chunk_id").withColumn("field", F.lit(row.field)).withColumn("bucket", lexical.bucket(F.col("term")))
-            spread = F.pmod(F.xxhash64("chunk_id"), F.lit(4))
+            spread = F.pmod(F.xxhash64("chunk_id"), F.lit(2))
             self._write("posting", posted.select("term", "chunk_id", "tf", "size", "field", "bucket").repartition("bucket", spread))
 
     def bm25(self, field: str, queries: DataFrame, query_id: str, k: int, scope: DataFrame | None = None, column: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from quern.operators.sizes import hinted
 
 K1, B = 1.2, 0.75
 #: Folders that the postings of a field are parted into by their terms.
-BUCKETS = 64
+BUCKETS = 16
 
 
 def indexed(df: DataFrame, id_: str, column: str) -> DataFrame:
