@@ -55,6 +55,21 @@ def _brute_bits(text, tree, depth, weight):
     return bits / (len(s) - depth)
 
 
+def _own(text, depth):
+    counts: dict[bytes, Counter] = defaultdict(Counter)
+    s = bytes(depth) + _symbols(text)
+    for i in range(depth, len(s)):
+        for d in range(depth + 1):
+            counts[s[i - d : i]][s[i]] += 1
+    return counts
+
+
+def _left_out(tree, text, depth):
+    """The tree's counts without the text's; contexts stay."""
+    own = _own(text, depth)
+    return {c: Counter({x: n - own[c][x] for x, n in counts.items()}) for c, counts in tree.items()}
+
+
 def _texts(seed: int) -> list[str]:
     r = random.Random(seed)
     return ["".join(r.choices(["the ", "cat ", "sat. ", "Ünd ", "zz"], k=r.randint(1, 60))) for _ in range(25)]
@@ -112,3 +127,43 @@ def test_both_ways_are_the_same(spark):
     a, b = (sorted((tuple(r) for r in suffixtree.score_corpus(table, broadcast_rows=n).collect()), key=repr) for n in (suffixtree.BROADCAST_ROWS, 0))
     assert [r[:2] for r in a] == [r[:2] for r in b] and len(a) == 30
     assert all(x[2] == y[2] or x[2] == pytest.approx(y[2], abs=2e-6) for x, y in zip(a, b))
+
+
+def test_own_counts_are_left_out(spark):
+    texts = [*_texts(5), "only here: qqqq wwww qqqq", "zz", "zz", "z", "", None]
+    table = docs(spark, texts)
+    model = suffixtree.train(table, DEPTH, 0.002, 1.0)
+    tree = _brute_tree(texts, DEPTH, 0.002, 1.0)
+    for own in (True, False):
+        for r in suffixtree.score(table, model, DEPTH, own=own).collect():
+            text = texts[r.doc_id]
+            if text:
+                want = _brute_bits(text, _left_out(tree, text, DEPTH) if own else tree, DEPTH, suffixtree.WEIGHT)
+                assert r.bits_per_symbol == pytest.approx(want, abs=2e-6), (own, text)
+            else:
+                assert r.bits_per_symbol is None
+
+
+def test_many_short_rows_and_own_counts_by_hand():
+    import numpy as np
+    import pyarrow as pa
+
+    from quern.llm import textbytes
+
+    r = random.Random(11)
+    texts = ["".join(r.choices("abz", k=r.randint(0, 9))) for _ in range(200)]
+    raw, off = textbytes.buffers(pa.array(texts))
+    code = suffixtree.positions(raw, off, DEPTH)
+    pair, ctx = suffixtree.own_counts(code, off, DEPTH)
+    at = 0
+    for t in texts:
+        own, s = _own(t, DEPTH), bytes(DEPTH) + _symbols(t)
+        for i in range(DEPTH, len(s)):
+            for d in range(DEPTH + 1):
+                c = s[i - d : i]
+                assert (pair[d, at], ctx[d, at]) == (own[c][s[i]], sum(own[c].values()))
+            at += 1
+    key = np.array([[0, 97], [50, 7]])
+    m = suffixtree.Model(key[0], key[1], DEPTH, 8.0)
+    many = textbytes.buffers(pa.array(["a"] * 70_000))
+    assert len(set(m.score(*many).tolist())) == 1 and len(m.score(*many)) == 70_000
