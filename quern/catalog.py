@@ -82,6 +82,18 @@ class Catalog:
         """All that was appended."""
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}") if self.exists(name) else self.empty(name)
 
+    def find(self, name: str, id_: str) -> Row | None:
+        """The row of an id in a table, the last one appended to ``document``; None if
+        there is none."""
+        own = (self.documents() if name == "document" else self.read(name)).where(F.col("id") == id_)
+        return own.limit(1).first()
+
+    def workspaces(self) -> DataFrame:
+        """(workspace_id, documents, chunks) of what is current."""
+        docs = self.documents().groupBy("workspace_id").agg(F.count("*").alias("documents"))
+        chunks = self.chunks().groupBy("workspace_id").agg(F.count("*").alias("chunks"))
+        return docs.join(chunks, "workspace_id", "left").select("workspace_id", "documents", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
     def documents(self) -> DataFrame:
         """The last observation of each document."""
         return versions.latest(self.read("document"), "id", [F.desc("observed_at"), F.desc("uri")])

@@ -55,6 +55,11 @@ def nearest_batch(index: DataFrame, id_: str, vector: str, queries: DataFrame, q
     and block, not a row a pair."""
     qid, iid = queries.schema[query_id].dataType, index.schema[id_].dataType
     pairs = _blocks(index, id_, vector, rows).crossJoin(_blocks(queries, query_id, query_vector, rows).select(F.col("ids").alias("qids"), F.col("m").alias("q")))
+    return top(_products(pairs.select("ids", "m", "qids", "q"), qid, iid, query_id, id_, k, skip_self), query_id, id_, k)
+
+
+def _products(pairs: DataFrame, qid: T.DataType, iid: T.DataType, query_id: str, id_: str, k: int, skip_self: bool) -> DataFrame:
+    """(query, id, score): of each pair of blocks (ids, m, qids, q) the k best of a query."""
     schema = T.StructType([T.StructField(query_id, qid), T.StructField(id_, iid), T.StructField("score", T.DoubleType())])
 
     def unit(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +84,69 @@ def nearest_batch(index: DataFrame, id_: str, vector: str, queries: DataFrame, q
                 at, who = np.nonzero((score >= least[:, None]) & (score > -np.inf))
                 yield pa.RecordBatch.from_arrays([qids.take(pa.array(asked[at])), ids.take(pa.array(who)), pa.array(score[at, who])], names=schema.names)
 
-    return top(pairs.select("ids", "m", "qids", "q").mapInArrow(run, schema), query_id, id_, k)
+    return pairs.mapInArrow(run, schema)
+
+
+def centroids(index: DataFrame, id_: str, vector: str, lists: int, sample: int = 20_000, rounds: int = 12) -> np.ndarray:
+    """Unit centres of ``lists`` clusters, fitted on the ``sample`` vectors with the least
+    hashes of their ids (a bound of the fit; every vector is indexed)."""
+    some = index.where(F.col(vector).isNotNull() & F.col(id_).isNotNull()).select(vector, F.xxhash64(F.col(id_).cast("string"), F.lit(3)).alias("h")).orderBy("h").limit(sample).collect()
+    if not some:
+        return np.zeros((0, 0))
+    x = np.array([r[0] for r in some], np.float64)
+    size = np.linalg.norm(x, axis=1)
+    x = x[size > 0] / size[size > 0, None]
+    if len(x) == 0:
+        return np.zeros((0, 0))
+    c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
+    for _ in range(rounds):
+        own = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        n = np.linalg.norm(sums, axis=1)
+        c = np.where(n[:, None] > 0, sums / np.where(n > 0, n, 1)[:, None], c)
+    return c
+
+
+def nearest_clustered(index: DataFrame, id_: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, lists: int = 64, probes: int = 12, skip_self: bool = False, rows: int = BLOCK) -> DataFrame:
+    """(query, id, score, rank): the k nearest among the vectors of the ``probes``
+    clusters nearest to each query.  Every vector is in the list of its nearest centre;
+    more probes raise recall, and all of them give the exact answer.  The centres, at
+    most ``lists``, go to every executor; vectors and queries meet list by list, in
+    blocks of ``rows`` vectors, by one matrix product each."""
+    centres = centroids(index, id_, vector, lists)
+    if len(centres) == 0:
+        return nearest_batch(index.limit(0), id_, vector, queries, query_id, query_vector, k, skip_self, rows)
+
+    def listed(df: DataFrame, key: str, column: str, most: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                if x.shape[1] != centres.shape[1]:
+                    raise EmbeddingMismatch(f"vectors of {x.shape[1]} and {centres.shape[1]} places")
+                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :most]
+                at = np.repeat(np.arange(batch.num_rows), near.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["list", key, column])
+
+        own = df.where(F.col(column).isNotNull() & F.col(key).isNotNull()).select(key, column)
+        return own.mapInArrow(run, T.StructType([T.StructField("list", T.IntegerType()), own.schema[key], own.schema[column]]))
+
+    def packed(df: DataFrame, key: str, column: str, names: tuple[str, str, str]) -> DataFrame:
+        # a list is cut into parts of about ``rows``, so that a large one is no one task's
+        parts = df.groupBy(F.col("list").alias("__l")).agg(F.ceil(F.count("*") / rows).alias("__n"))
+        cut_ = df.join(parts, F.col("list") == F.col("__l")).withColumn("part", F.pmod(F.xxhash64(F.col(key).cast("string")), F.col("__n")))
+        schema = T.StructType([T.StructField(names[0], T.IntegerType()), T.StructField(names[1], T.ArrayType(df.schema[key].dataType)), T.StructField(names[2], T.BinaryType())])
+
+        def pack(t: pa.Table) -> pa.Table:
+            m = np.array(t.column(column).to_pylist(), np.float64)
+            return pa.table({names[0]: t.column("list").slice(0, 1), names[1]: pa.array([t.column(key).to_pylist()], pa.list_(t.column(key).type)), names[2]: pa.array([m.tobytes()], pa.binary())})
+
+        return cut_.select("list", "part", key, column).groupBy("list", "part").applyInArrow(pack, schema)
+
+    left = packed(listed(index, id_, vector, 1), id_, vector, ("list", "ids", "m"))
+    right = packed(listed(queries, query_id, query_vector, probes), query_id, query_vector, ("qlist", "qids", "q"))
+    pairs = left.join(right, F.col("list") == F.col("qlist")).select("ids", "m", "qids", "q")
+    return top(_products(pairs, queries.schema[query_id].dataType, index.schema[id_].dataType, query_id, id_, k, skip_self), query_id, id_, k)
 
 
 def missing(chunks: DataFrame, embedded: DataFrame, id_: str = "id", chunk_id: str = "chunk_id") -> DataFrame:

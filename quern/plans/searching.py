@@ -79,6 +79,13 @@ def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.nearest_batch(e, "vec_id", "embedding", e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "embedding", K, skip_self=True)
 
 
+def dense_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of every hundredth vector with all clusters probed: exact."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense.nearest_clustered(e, "vec_id", "embedding", asked, "query_id", "embedding", K, lists=16, probes=16, skip_self=True)
+
+
 def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
 
@@ -142,7 +149,7 @@ def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.compare_arms(a, golden_resolve(spark, sf_dir), "item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (postings, term_stats, stemmed_terms, bm25_topk, bm25_batch, bm25_stored, heading_topk, dense_topk, dense_topk_batch, embedding_norms, missing_vectors, rrf, explain, rerank_overlap, golden_resolve, golden_unanswerable, retrieval_scores, macro_mean, arm_comparison)}
+QUERIES = {f.__name__: f for f in (postings, term_stats, stemmed_terms, bm25_topk, bm25_batch, bm25_stored, heading_topk, dense_topk, dense_topk_batch, dense_clustered, embedding_norms, missing_vectors, rrf, explain, rerank_overlap, golden_resolve, golden_unanswerable, retrieval_scores, macro_mean, arm_comparison)}
 QUERIES["hybrid"] = search_hybrid
 
 _DOC_TERMS = f"SELECT doc_id AS id, {stems.WORDS.format('text')} AS terms FROM documents WHERE doc_id IS NOT NULL"
@@ -218,6 +225,11 @@ SELECT vec_id, round({_dot('embedding', 'q')} / (sqrt({_dot('embedding', 'embedd
 WITH n AS (SELECT vec_id, embedding, sqrt({_dot('embedding', 'embedding')}) AS nn FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, round({_dot('a.embedding', 'b.embedding')} / (a.nn * b.nn), 6) AS score FROM n a JOIN n b ON a.vec_id <> b.vec_id)
 SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= {K}
+""",
+    "dense_clustered": f"""
+WITH n AS (SELECT vec_id, embedding, sqrt({_dot('embedding', 'embedding')}) AS nn FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round({_dot('a.embedding', 'b.embedding')} / (a.nn * b.nn), 6) AS score FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= {K}
 """,
     "embedding_norms": f"SELECT vec_id, round(sqrt({_dot('embedding', 'embedding')}), 6) AS norm FROM embeddings",
     "missing_vectors": "SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)",

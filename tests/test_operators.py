@@ -182,3 +182,31 @@ def test_a_cascade_of_resolution(spark):
     v = spark.createDataFrame([(6, [1.0, 0.0]), (7, [0.99, 0.1]), (8, [0.85, 0.53])], "id long, embedding array<double>")
     got = {(r.a, r.b): r.decision for r in identity.cascade(e, "id", "name", "kind", "aliases", v).collect()}
     assert got == {(1, 2): "exact", (1, 3): "alias", (1, 4): "trigram", (6, 7): "embedding", (6, 8): "adjudicate", (7, 8): "adjudicate"}
+
+
+def test_clustered_search_has_its_recall(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    centre = r.normal(size=(30, 16))
+    x = centre[r.integers(0, 30, 3000)] + 0.4 * r.normal(size=(3000, 16))
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)] + [(9000, None), (None, [1.0] * 16), (9001, [0.0] * 16)], "id long, v array<double>")
+    q = v.where("id % 100 = 0 AND id < 3000").selectExpr("id AS q", "v AS qv")
+    want = {(r.q, r.id) for r in dense.nearest_batch(v, "id", "v", q, "q", "qv", 10).collect()}
+    got = dense.nearest_clustered(v, "id", "v", q, "q", "qv", 10, lists=32, probes=8, rows=100)
+    found = {(r.q, r.id) for r in got.collect()}
+    assert len(want) == 300 and len(found & want) >= 0.9 * len(want) and max(r["rank"] for r in got.collect()) == 10
+    every = dense.nearest_clustered(v, "id", "v", q, "q", "qv", 10, lists=32, probes=32, rows=100)
+    assert rows(every) == rows(dense.nearest_batch(v, "id", "v", q, "q", "qv", 10))
+    assert dense.nearest_clustered(v.limit(0), "id", "v", q, "q", "qv", 3).count() == 0
+
+
+def test_ports(tmp_path):
+    from quern import ports
+    from quern.errors import ConfigError
+
+    assert [c.text for c in ports.StructureChunker().chunk("one\n\ntwo")] == ["one\n\ntwo"]
+    model = ports.embedder(f"onnx:{tmp_path}", 8)
+    assert model.embed([]) == [] and model.dimensions == 8
+    with pytest.raises(ConfigError):
+        model.embed(["x"])

@@ -85,6 +85,9 @@ def test_ingest_index_search(spark, corpus, tmp_path):
     chunks = store.chunks(True)
     direct = lexical.bm25(lexical.indexed(chunks, "id", "text"), "id", asked, "query_id", 10, store.chunks().select("id"))
     assert sorted(map(tuple, store.bm25("body", asked, "query_id", 10, store.chunks().select("id")).collect())) == sorted(map(tuple, direct.collect()))
+    one = store.documents().first()
+    assert store.find("document", one.id) == one and store.find("version", "none") is None
+    assert [(r.workspace_id, r.documents) for r in store.workspaces().collect()] == [("default", 5)]
     # runs and their events
     assert store.read("run").count() == 4 and {r.kind for r in store.read("change_event").collect()} == {"new", "outdated"}
     first = store.read("run").orderBy("started_at").first()
