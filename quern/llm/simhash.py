@@ -12,7 +12,9 @@ bit is 0 and to the right if it is 1, so a pair meets once per segment at most;
 of several segments the first one counts.  Documents of one group are those
 linked by pairs, directly or not; the least doc_id of a group stays.
 
-The search is exact with regard to the distance: no bucket is capped.
+The search is exact with regard to the distance: no bucket is capped.  A signature
+knows which words a text has, not their order: texts of the same words in another
+order are near duplicates.
 
 Defined cases: a null doc_id is never grouped and never dropped; a text without
 words (null and empty too) has no signature, and is a copy only of texts equal
