@@ -4,7 +4,8 @@ Stages, each over whole texts: language ID drops documents that belong to no
 known language; near duplicates leave one document a group; documents that hold
 a benchmark item are dropped; personal data get surrogates; what is left is
 packed into sequences.  A stage written to Parquet and read again is the next
-one's docs.
+one's docs; what no later stage reads any more is deleted, so two stages' rows are
+kept at most.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontam, langid, packing, pii, simhash
-from quern.llm.common import shared_dir, table
+from quern.llm.common import remove, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before is not None:
+            remove(spark, before)
+        before = f"{base}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
