@@ -81,7 +81,9 @@ def ingest_files(catalog: Catalog, found: DataFrame, workspace: str, settings: S
         "doc_type": metadata.doc_type(F.col("external_id"), title, F.col("text"), settings.profile.doc_types), "meeting_or_project": metadata.meeting(title, F.col("text")), "uri": F.col("uri"),
     }
     described = good.select("document_id", "version_id", "version_no", "external_id", "content_hash", "bytes", "mime", "parser", "quality", "text", "warnings", "headings", "page_offsets", "quarantine", "authors", *[c.alias(k) for k, c in fields.items()])
-    described = described.withColumn("misses", metadata.misses({k: F.col(k) for k in fields}))
+    # read by every table that is appended to: written once, not worked out for each
+    described.withColumn("misses", metadata.misses({k: F.col(k) for k in fields})).write.parquet(f"{staged}/described")
+    described = read(f"{staged}/described")
     catalog.append("document", described.select(F.col("document_id").alias("id"), F.lit(workspace).alias("workspace_id"), "external_id", "uri", "title", "doc_type", "meeting_or_project", "published_at", "authors", now.alias("observed_at")))
     spans = described.select("version_id", F.inline("quarantine"))
     catalog.append("quarantine", spans.select(hashed_id(F.col("version_id"), F.col("start"), F.col("end"), F.col("reason")).alias("id"), "version_id", F.col("start").alias("char_start"), F.col("end").alias("char_end"), "text", "reason"))
