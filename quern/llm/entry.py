@@ -12,8 +12,8 @@ from quern.llm.common import table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = chat.from_turns(table(spark, sf_dir, "conversations"), chat.reply_halfway)
-    return chat.formatted(messages).withColumn("n_messages", F.col("n_messages").cast("long"))
+    turns = table(spark, sf_dir, "conversations")
+    return chat.formatted(chat.from_turns(turns, chat.reply_halfway), bodies=chat.bodies_of_turns(turns)).withColumn("n_messages", F.col("n_messages").cast("long"))
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
