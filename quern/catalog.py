@@ -17,7 +17,7 @@ from quern.errors import ConfigError
 from quern.operators import graph, ledger, lexical, versions
 from quern.operators.sizes import hinted
 
-FORMAT = 1
+FORMAT = 2
 TABLES = {
     "document": "id string, workspace_id string, external_id string, uri string, title string, doc_type string, meeting_or_project string, published_at date, authors array<string>, observed_at timestamp",
     "version": "id string, document_id string, version_no int, content_hash string, text_hash string, mime string, bytes long, parser string, parse_quality double, ingested_at timestamp, text string, warnings array<string>, misses array<string>",
