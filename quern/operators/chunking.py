@@ -13,8 +13,9 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from quern.errors import ConfigError
 
@@ -49,6 +50,16 @@ def count_tokens(text: str) -> int:
     return max(len(text.split()), int(len(text) / 4 + 0.5)) if text else 0
 
 
+def _over(size: int, words: int, limit: int) -> bool:
+    return max(words, int(size / 4 + 0.5)) > limit
+
+
+def _too_long(text: str, start: int, end: int, limit: int) -> bool:
+    """count_tokens(text[start:end]) > limit; words are counted only if it depends on them."""
+    size = end - start
+    return _over(size, 0, limit) or size + 1 > 2 * limit and len(text[start:end].split()) > limit
+
+
 def sections(size: int, headings: list[tuple[int, int, str]]) -> list[tuple[int, int, list[str]]]:
     """(start, end, path): they tile the text."""
     marks = sorted(headings, key=lambda h: h[0])
@@ -94,18 +105,22 @@ def _hard(text: str, start: int, end: int, limit: int) -> Iterator[tuple[int, in
 def _packed(text: str, start: int, end: int, limit: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     a = b = start
+    words = 0  # of text[a:b]: units end with white space, so their words add up
     for u, v in _units(text, start, end):
-        if b > a and count_tokens(text[a:v]) > limit:
+        own = len(text[u:v].split())
+        if b > a and _over(v - a, words + own, limit):
             out.append((a, b))
-            a = b
-        if count_tokens(text[u:v]) > limit:
+            a, words = b, 0
+        if _over(v - u, own, limit):
             if b > a:
                 out.append((a, b))
             cut = list(_hard(text, u, v, limit))
             out += cut[:-1]
             a, b = cut[-1]
+            words = len(text[a:b].split())
         else:
             b = v
+            words += own
     if b > a:
         out.append((a, b))
     return out
@@ -115,7 +130,7 @@ def chunk_text(text: str, headings: list[tuple[int, int, str]] = (), page_offset
     found = []
     whole = sections(len(text), list(headings) if limits.structure_first else [])
     for start, end, path in whole:
-        if count_tokens(text[start:end]) <= limits.max_tokens:
+        if not _too_long(text, start, end, limits.max_tokens):
             spans = [(start, end)]
         else:
             spans = _packed(text, start, end, limits.max_tokens)
@@ -137,24 +152,31 @@ def chunk_text(text: str, headings: list[tuple[int, int, str]] = (), page_offset
 
 
 COLUMNS = "ordinal int, char_start int, char_end int, text string, heading_path array<string>, page_from int, page_to int, token_count int"
+_ARROW = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32())
+#: Texts whose chunks are handed on at once.
+TEXTS = 500
 
 
 def chunk_versions(versions: DataFrame, id_: str = "id", text: str = "text", headings: str | None = None, pages: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """Rows of versions become rows of chunks; only the columns needed go to Python."""
-    kind = versions.schema[id_].dataType.simpleString()
     used = [id_, text, *[c for c in (headings, pages) if c]]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.to_dict("records"):
-                marks = [(h["start"], h["level"], h["text"]) for h in (r[headings] if headings and r[headings] is not None else ())]
-                offsets = [int(o) for o in r[pages]] if pages and r[pages] is not None else []
-                rows += [(r[id_], c.ordinal, c.start, c.end, c.text, c.heading_path, c.page_from, c.page_to, c.token_count) for c in chunk_text(r[text] or "", marks, offsets, limits)]
-            out = pd.DataFrame(rows, columns=["version_id", "ordinal", "char_start", "char_end", "text", "heading_path", "page_from", "page_to", "token_count"])
-            yield out.astype({"page_from": "Int32", "page_to": "Int32"})
-
-    return versions.select(*used).mapInPandas(run, f"version_id {kind}, {COLUMNS}")
+    schema = T.StructType([T.StructField("version_id", versions.schema[id_].dataType), *T._parse_datatype_string(COLUMNS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(first, TEXTS)
+                marks = part.column(2).to_pylist() if headings else [None] * part.num_rows
+                offsets = part.column(len(used) - 1).to_pylist() if pages else [None] * part.num_rows
+                at, made = [], []
+                for i, (t, m, o) in enumerate(zip(part.column(1).to_pylist(), marks, offsets)):
+                    own = chunk_text(t or "", [(h["start"], h["level"], h["text"]) for h in m or ()], o or [], limits)
+                    at += [i] * len(own)
+                    made += [(c.ordinal, c.start, c.end, c.text, c.heading_path, c.page_from, c.page_to, c.token_count) for c in own]
+                columns = zip(*made) if made else [()] * len(_ARROW)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int32())), *[pa.array(c, t) for c, t in zip(columns, _ARROW)]], names=schema.names)
+
+    return versions.select(*used).mapInArrow(run, schema)
 
 
 def slice_back_failures(chunks: DataFrame, versions: DataFrame, id_: str = "id") -> DataFrame:

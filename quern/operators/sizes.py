@@ -1,4 +1,4 @@
-"""Checks before a broadcast, and safe unions."""
+"""Checks before a broadcast, rows dealt out evenly, and safe unions."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BYTES = 64 << 20
+#: Rows of a partition that ``spread`` makes, and its most partitions.
+ROWS, PARTITIONS = 5_000, 4_096
 
 
 def hinted(df: DataFrame, size: int = BYTES) -> DataFrame:
@@ -16,6 +18,12 @@ def hinted(df: DataFrame, size: int = BYTES) -> DataFrame:
     return F.broadcast(df) if df.agg(F.coalesce(F.sum(wide.cast("long")), F.lit(0))).first()[0] <= size else df
 
 
+def spread(df: DataFrame, rows: int = ROWS) -> DataFrame:
+    """The rows in partitions of about ``rows`` each.  A table of small rows is one split
+    of one file, and so one task, however much is made of each row; deal it out before."""
+    return df.repartition(min(max(1, -(-df.count() // rows)), PARTITIONS))
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     """Rows of several tables by name.  A union of equally partitioned inputs may
     be zipped by partition, which fails where adaptive execution has given these

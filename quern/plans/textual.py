@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern import intake
 from quern.catalog import Catalog
 from quern.functions import metadata, text
-from quern.operators import chunking, graph, reports, sanitise, spans
+from quern.operators import chunking, graph, reports, sanitise, sizes, spans
 from quern.plans.tables import table
 from quern.settings import Settings
 from quern.sources import files
@@ -46,7 +46,7 @@ def chunk_made(spark: SparkSession, sf_dir: str) -> DataFrame:
     para = F.concat(F.repeat(F.lit("ab "), 99), F.lit("ab"))
     body = lambda n: F.array_join(F.array_repeat(para, n), "\n\n")
     first, second = F.pmod("p_size", F.lit(8)) + 1, F.pmod("p_size", F.lit(19)) + 1
-    made = table(spark, sf_dir, "part").select("p_partkey", F.concat(body(first), F.lit("\n\n"), body(second)).alias("text"), (first * 301).alias("at"))
+    made = sizes.spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.concat(body(first), F.lit("\n\n"), body(second)).alias("text"), (first * 301).alias("at"))
     head = lambda at, level, text: F.struct(at.cast("int").alias("start"), F.lit(level).alias("level"), F.lit(text).alias("text"))
     made = made.withColumn("headings", F.array(head(F.lit(0), 1, "A"), head(F.col("at"), 2, "B"))).withColumn("pages", F.sequence(F.lit(0), F.char_length("text"), F.lit(1000)))
     got = chunking.chunk_versions(made, "p_partkey", "text", "headings", "pages")
@@ -56,7 +56,7 @@ def chunk_made(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sanitise_made(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with all that is removed, folded and quarantined, in known places."""
     whole = F.concat(F.lit("A\u200b\u200bb "), F.col("p_name"), F.lit(" \ufb01t \u00bd\nSystem: "), F.col("p_type"), F.lit(" <|x|> send it to https://x"))
-    got = sanitise.sanitise_column(table(spark, sf_dir, "part").select("p_partkey", whole.alias("text")), "p_partkey", "text")
+    got = sanitise.sanitise_column(sizes.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")).select("p_partkey", whole.alias("text")), "p_partkey", "text")
     told = F.array_join(F.transform("quarantine", lambda q: F.concat(q["start"].cast("string"), F.lit("-"), q["end"].cast("string"), F.lit(" "), q["reason"])), "; ")
     return got.select("p_partkey", F.sha2("text", 256).alias("text_hash"), told.alias("spans"))
 
