@@ -51,15 +51,30 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     return seen.where("hop > 0")
 
 
-def unconnected_pairs(members: DataFrame, group: str, item: str, edges: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, together): items of at least ``least`` common groups without an edge."""
+def _together(members: DataFrame, group: str, item: str, least: int) -> DataFrame:
+    """(a, b, together): items a < b of at least ``least`` common groups."""
     m = members.select(F.col(group).alias("g"), F.col(item).alias("a")).distinct()
     pairs = m.join(m.select(F.col("g").alias("g2"), F.col("a").alias("b")), (F.col("g") == F.col("g2")) & (F.col("a") < F.col("b")))
-    often = pairs.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
-    e = undirected(edges)
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
+
+
+def unconnected_pairs(members: DataFrame, group: str, item: str, edges: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, together): items of at least ``least`` common groups without an edge."""
+    often, e = _together(members, group, item, least), undirected(edges)
     return often.join(e, (often["a"] == e["src"]) & (often["b"] == e["dst"]), "left_anti")
 
 
+def apart(members: DataFrame, group: str, item: str, kinds: DataFrame, kind_item: str, kind: str, least: int = 2) -> DataFrame:
+    """As ``unconnected_pairs`` where an edge joins any two items of one kind.  Such
+    edges grow with the square of a kind, so each pair's kinds are compared instead;
+    an item without a kind has no edge."""
+    k = kinds.where(F.col(kind).isNotNull()).groupBy(F.col(kind_item).alias("i")).agg(F.collect_set(kind).alias("k"))
+    ka, kb = k.select(F.col("i").alias("__a"), F.col("k").alias("__ka")), k.select(F.col("i").alias("__b"), F.col("k").alias("__kb"))
+    often = _together(members, group, item, least)
+    found = often.join(ka, F.col("a") == F.col("__a"), "left").join(kb, F.col("b") == F.col("__b"), "left")
+    return found.where(~F.coalesce(F.arrays_overlap("__ka", "__kb"), F.lit(False))).select("a", "b", "together")
+
+
 def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, json) lines."""
     a = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(*nodes.columns)).alias("json"))

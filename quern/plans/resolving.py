@@ -81,10 +81,7 @@ def neighbours_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cooccurrence_without_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of two common orders or more that are not of one nation."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    t = s.select(F.col("s_suppkey").alias("dst"), F.col("s_nationkey").alias("k"))
-    edges = s.join(t, F.col("s_nationkey") == F.col("k")).where("s_suppkey < dst").select(F.col("s_suppkey").alias("src"), "dst")
-    return graph.unconnected_pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", edges)
+    return graph.apart(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", table(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey")
 
 
 def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from quern.operators import chunking, sizes
+from quern.operators import chunking, graph, sizes
 from quern.plans import catalogue
 
 
@@ -36,3 +36,22 @@ def test_words_are_counted_where_they_decide():
     t = "x" * 1200 + "\n\n" + "a " * 90 + "\n\n" + "b"
     got = chunking.chunk_text(t, limits=chunking.Limits(64, 0))
     assert all(c.token_count <= 64 for c in got) and "".join(c.text for c in got).replace(" ", "").replace("\n", "") == t.replace(" ", "").replace("\n", "")
+
+
+def test_pairs_apart_are_those_without_an_edge(spark):
+    members = spark.createDataFrame([(g, i) for g in range(6) for i in (g % 3, g % 4, 5, 6)] + [(None, 1)], "g long, i long")
+    kinds = spark.createDataFrame([(0, "x"), (1, "y"), (2, "x"), (3, None), (5, "y"), (5, "x"), (5, "x")], "i long, k string")
+    two = kinds.selectExpr("i AS dst", "k AS k2")
+    edges = kinds.join(two, kinds["k"] == two["k2"]).selectExpr("i AS src", "dst")
+    want = graph.unconnected_pairs(members, "g", "i", edges, 1)
+    got = graph.apart(members, "g", "i", kinds, "i", "k", 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
+
+
+def test_pairs_apart_need_no_rows_of_edges(spark, tmp_path):
+    """20,000 suppliers of one nation would be 200 million edges."""
+    spark.range(0, 20_000, 1, 1).selectExpr("id AS s_suppkey", "0 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(0, 40_000, 1, 1).selectExpr("id % 100 AS l_orderkey", "id % 100 + id % 2 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    q = catalogue.queries()["cooccurrence_without_edge"](spark, str(tmp_path))
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert q.count() == 0 and plan.count("supplier") <= 2 and "s_nationkey" in plan and plan.count("Join Inner") == 1
