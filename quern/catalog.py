@@ -153,10 +153,10 @@ class Catalog:
         wanted = hinted(asked.select(F.col("term").alias("__u")).distinct())
         stored = self._stored("posting").where((F.col("field") == field) & F.col("bucket").isin(buckets))
         # a repeated append of a chunk's postings counts once
-        posted = stored.join(wanted, F.col("term") == F.col("__u"), "left_semi").groupBy("term", "chunk_id").agg(F.max("tf").alias("tf"), F.max("size").alias("size"))
+        posted = stored.join(wanted, F.col("term") == F.col("__u"), "left_semi")
         lengths = self._stored("length").where(F.col("field") == field).groupBy("chunk_id").agg(F.max("size").alias("size"))
         corpus = lengths.agg(F.count("*").alias("__docs"), F.avg("size").alias("__avg"))
-        return lexical.scored(posted, corpus, asked, "chunk_id", query_id, k, scope)
+        return lexical.stored(posted, corpus, asked, "chunk_id", query_id, k, scope)
 
     def _stored(self, name: str) -> DataFrame:
         """As ``read``, but chunk ids of any type."""

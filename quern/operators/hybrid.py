@@ -19,9 +19,9 @@ def arms(chunks: DataFrame, id_: str, queries: DataFrame, query_id: str, body: s
     if "dense" in names and vectors is not None and query_vectors is not None:
         out["dense"] = dense.nearest_batch(vectors, id_, "embedding", query_vectors, query_id, "embedding", settings.dense_k)
     if "headings" in names and heading is not None:
-        out["headings"] = lexical.bm25(lexical.indexed(chunks, id_, heading), id_, queries, query_id, settings.sparse_k)
+        out["headings"] = lexical.search(chunks, id_, heading, queries, query_id, settings.sparse_k)
     if "sparse" in names:
-        out["sparse"] = lexical.bm25(lexical.indexed(chunks, id_, body), id_, queries, query_id, settings.sparse_k)
+        out["sparse"] = lexical.search(chunks, id_, body, queries, query_id, settings.sparse_k)
     return out
 
 

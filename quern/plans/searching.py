@@ -22,10 +22,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.indexed(_docs(spark, sf_dir), "doc_id", "text")
-
-
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").where("item_id IS NOT NULL")
 
@@ -45,11 +41,11 @@ def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(QUERY).alias("text"))
-    return lexical.bm25(_index(spark, sf_dir), "doc_id", q, "query_id", K).select("doc_id", "score", "rank")
+    return lexical.search(_docs(spark, sf_dir), "doc_id", "text", q, "query_id", K).select("doc_id", "score", "rank")
 
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(_index(spark, sf_dir), "doc_id", _asked(spark, sf_dir), "item_id", K)
+    return lexical.search(_docs(spark, sf_dir), "doc_id", "text", _asked(spark, sf_dir), "item_id", K)
 
 
 def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +60,9 @@ def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heading_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of a turn: its role and its conversation."""
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_key"), F.array(F.col("role"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))).alias("heading_path"))
-    index = lexical.indexed(rows.select("turn_key", F.concat_ws(" ", "heading_path").alias("heading")), "turn_key", "heading")
+    headings = rows.select("turn_key", F.concat_ws(" ", "heading_path").alias("heading"))
     q = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit("assistants in conversations: 7").alias("text"))
-    return lexical.bm25(index, "turn_key", q, "query_id", K).select("turn_key", "score", "rank")
+    return lexical.search(headings, "turn_key", "heading", q, "query_id", K).select("turn_key", "score", "rank")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +131,7 @@ def golden_unanswerable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recall@5 and @20, nDCG@10 and reciprocal rank of body search."""
-    ranked = lexical.bm25(_index(spark, sf_dir), "doc_id", _asked(spark, sf_dir), "item_id", 50)
+    ranked = lexical.search(_docs(spark, sf_dir), "doc_id", "text", _asked(spark, sf_dir), "item_id", 50)
     return measure.score(ranked, golden_resolve(spark, sf_dir), "item_id", "doc_id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from quern.operators import chunking, graph, sizes
+from quern.operators import chunking, graph, lexical, sizes
 from quern.plans import catalogue
 
 
@@ -55,3 +55,55 @@ def test_pairs_apart_need_no_rows_of_edges(spark, tmp_path):
     q = catalogue.queries()["cooccurrence_without_edge"](spark, str(tmp_path))
     plan = q._jdf.queryExecution().optimizedPlan().toString()
     assert q.count() == 0 and plan.count("supplier") <= 2 and "s_nationkey" in plan and plan.count("Join Inner") == 1
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    """300 texts of 40, so that most scores are tied."""
+    d = [(i, " ".join(["river", "stones", "budget", "of", "the"][: i % 5 + 1] * (i % 8 + 1))) for i in range(300)] + [(900, None), (901, "")]
+    asked = spark.createDataFrame([(1, "the rivers of stone"), (2, "budgets budget"), (3, "nowhere"), (4, "")], "q long, text string")
+    return spark.createDataFrame(d, "id long, text string").repartition(3), asked
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("k", [1, 7, 1000])
+def test_blocks_rank_as_joins_do(spark, texts, k, monkeypatch):
+    docs, asked = texts
+    scope = docs.where("id % 3 > 0").select("id")
+    direct = rows(lexical.search(docs, "id", "text", asked, "q", k))
+    kept = [rows(lexical.bm25(lexical.indexed(docs, "id", "text"), "id", asked, "q", k, s)) for s in (None, scope)]
+    monkeypatch.setattr(lexical, "CELLS", 0)
+    joined = [rows(lexical.bm25(lexical.indexed(docs, "id", "text"), "id", asked, "q", k, s)) for s in (None, scope)]
+    assert direct == kept[0] == joined[0] and kept[1] == joined[1] and joined[0] and joined[1] != joined[0]
+    monkeypatch.setattr(lexical, "CELLS", 256)  # blocks of 64 texts
+    assert rows(lexical.search(docs, "id", "text", asked, "q", k)) == direct
+
+
+def test_repeated_ids_are_summed(spark, texts, monkeypatch):
+    docs, asked = texts
+    twice = docs.selectExpr("id % 100 AS id", "text")
+    got = rows(lexical.search(twice, "id", "text", asked, "q", 9))
+    monkeypatch.setattr(lexical, "CELLS", 0)
+    assert got == rows(lexical.search(twice, "id", "text", asked, "q", 9)) and got
+
+
+def test_searches_join_no_text_with_a_query(spark, texts):
+    """A row a text, term and query was summed before."""
+    docs, asked = texts
+    plan = lexical.search(docs, "id", "text", asked, "q", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_stored_postings_may_repeat(spark, texts, tmp_path):
+    from quern.catalog import Catalog
+
+    docs, asked = texts
+    store = Catalog(spark, str(tmp_path))
+    own = docs.selectExpr("CAST(id AS string) AS chunk_id", "'body' AS field", "text")
+    store.index_texts(own)
+    once = rows(store.bm25("body", asked, "q", 9))
+    store.index_texts(own.where("chunk_id < 150"))
+    assert rows(store.bm25("body", asked, "q", 9)) == once and once
