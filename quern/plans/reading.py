@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.sizes import PARTITIONS, spread
 from quern.plans.tables import table
 from quern.sources import files
 
@@ -26,6 +27,10 @@ def _read(given: DataFrame) -> DataFrame:
     return got.select("external_id", "title", "parser", F.sha2("text", 256).alias("text_hash"), F.char_length("text").alias("n_chars"), path.alias("headings"), F.array_join("warnings", ";").alias("warnings"), "published_at", "error")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size"))
+
+
 def read_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as Markdown files with returns before their line feeds."""
     c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
@@ -42,7 +47,7 @@ def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as objects, and each brand's as lines of objects."""
-    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_partkey").alias("key"), F.array("p_size", F.lit(1)).alias("ab"))).alias("j"))
+    p = _parts(spark, sf_dir).select("p_brand", "p_partkey", F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_partkey").alias("key"), F.array("p_size", F.lit(1)).alias("ab"))).alias("j"))
     each = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("external_id"), F.col("j").alias("t"))
     lines = p.groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(F.struct("p_partkey", "j")))["j"], "\n\n").alias("t")).select(F.concat("p_brand", F.lit(".jsonl")).alias("external_id"), "t")
     return _read(each.unionByName(lines).select("external_id", F.encode("t", "utf-8").alias("content")))
@@ -58,13 +63,13 @@ def read_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_rtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A heading, characters by code, and hidden text."""
     body = F.concat(F.lit(r"{\rtf1\ansi\ansicpg1252{\fonttbl f}{\stylesheet{\s1 heading 1;}}\pard\s1 "), F.col("p_name"), F.lit(r"\par\pard caf\'e9 \u8212?{\v unseen}"), F.col("p_type"), F.lit(r"\par}"))
-    return _read(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".rtf")).alias("external_id"), F.encode(body, "utf-8").alias("content")))
+    return _read(_parts(spark, sf_dir).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".rtf")).alias("external_id"), F.encode(body, "utf-8").alias("content")))
 
 
 def read_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, headings, entities, what is dropped and what is hidden."""
     body = F.concat(F.lit("<html><head><title> A  "), F.col("p_name"), F.lit("</title><style>p {}</style></head><body><h1>Part <b>"), F.col("p_partkey").cast("string"), F.lit("</b></h1><p>one &amp; two<br>three</p><script>no()</script><p style='display: none'>un <i>seen</i></p><!-- said --><div>"), F.col("p_type"), F.lit("</div></body></html>"))
-    return _read(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".html")).alias("external_id"), F.encode(body, "utf-8").alias("content")))
+    return _read(_parts(spark, sf_dir).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".html")).alias("external_id"), F.encode(body, "utf-8").alias("content")))
 
 
 def _zip(parts: dict[str, str | bytes]) -> bytes:
@@ -145,10 +150,17 @@ def _made(build: Callable[[str, list[str]], bytes]) -> Callable[[Column, Column]
     return F.pandas_udf(lambda brand, rows: pd.Series([build(b, list(r)) for b, r in zip(brand, rows)]), "binary")
 
 
+def _apart(groups: DataFrame, brands: DataFrame) -> DataFrame:
+    """Each brand a partition of its own: a brand's file is as large as the table makes it,
+    and one worker must not hold several."""
+    return groups.repartition(min(max(1, brands.select("p_brand").distinct().count()), PARTITIONS))
+
+
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each brand with its parts: key, tab, name."""
     row = F.concat(F.col("p_partkey").cast("string"), F.lit("\t"), F.col("p_name"))
-    return table(spark, sf_dir, "part").where("p_brand IS NOT NULL").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", row.alias("r"))))["r"].alias("rows"))
+    own = table(spark, sf_dir, "part").where("p_brand IS NOT NULL")
+    return _apart(own.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", row.alias("r"))))["r"].alias("rows")), own)
 
 
 def _packed(suffix: str, build: Callable[[str, list[str]], bytes]) -> Callable[[SparkSession, str], DataFrame]:

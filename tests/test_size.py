@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
-from quern.operators import chunking, graph, lexical, sizes
+from quern.operators import chunking, dense, graph, lexical, sizes
 from quern.plans import catalogue
 
 
@@ -23,7 +24,7 @@ def test_spread(spark):
     assert sizes.spread(spark.range(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["chunk_made", "sanitise_made"])
+@pytest.mark.parametrize("name", ["chunk_made", "sanitise_made", "read_html", "read_rtf"])
 def test_rows_of_one_file_are_dealt_out(spark, parts, name):
     assert catalogue.queries()[name](spark, parts).rdd.getNumPartitions() == 3
 
@@ -107,3 +108,30 @@ def test_stored_postings_may_repeat(spark, texts, tmp_path):
     once = rows(store.bm25("body", asked, "q", 9))
     store.index_texts(own.where("chunk_id < 150"))
     assert rows(store.bm25("body", asked, "q", 9)) == once and once
+
+
+def test_files_of_brands_lie_apart(spark, parts):
+    """Two brands were one task's."""
+    df = catalogue.queries()["read_pptx"](spark, parts)
+    assert df.rdd.getNumPartitions() == 2 and df.count() == 2
+
+
+def test_bounds_of_the_kth_are_close_and_never_above():
+    x = np.random.default_rng(1).normal(size=(40, 2048)).astype(np.float32)
+    for k in (1, 10, 50, 3000):
+        bound, kth = dense._kth(x, k), np.sort(x, axis=1)[:, -min(k, 2048)]
+        assert (bound <= kth).all() and (k > 2048 or ((x >= bound[:, None]).sum(1) <= 2 * k).all())
+
+
+def test_nearest_with_ties_and_repeats(spark):
+    """Single precision only narrows: near ties and repeated ids as in double."""
+    r = np.random.default_rng(2)
+    base = r.normal(size=(30, 8))
+    v = [(i % 350, [float(y) for y in base[i % 30] + r.normal(size=8) * 1e-6]) for i in range(400)] + [(500, [0.0] * 8)]
+    e = spark.createDataFrame(v, "id long, v array<double>")
+    got = rows(dense.nearest_batch(e, "id", "v", e.where("id < 60").selectExpr("id AS q", "v AS qv"), "q", "qv", 5, True, 128).where("q >= 50").select("q", "id", "score", "rank"))
+    want = []
+    for q, a in ((i, np.array(x)) for i, x in v if 50 <= i < 60):
+        s = sorted((-round(float(a @ np.array(x) / (np.linalg.norm(a) * (np.linalg.norm(x) or 1))), 6), i) for i, x in v if i != q)
+        want += [(q, i, -c, n) for n, (c, i) in enumerate(s[:5], 1)]
+    assert [(a, b, d) for a, b, _, d in got] == sorted((a, b, d) for a, b, _, d in want)
