@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.errors import EmbeddingMismatch
 from quern.functions import vectors
+from quern.operators.graph import cut
 from quern.operators.lexical import top
 
 #: Vectors a block: 8 MB at 512 places.
@@ -40,7 +42,8 @@ def _blocks(df: DataFrame, id_: str, vector: str, rows: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, rows):
                 part = batch.slice(a, rows)
-                m = np.array(part.column(1).to_pylist(), np.float64)
+                flat, n = part.column(1).flatten(), pc.unique(pc.list_value_length(part.column(1)))
+                m = flat.to_numpy(zero_copy_only=False).astype(np.float64) if len(n) == 1 and not flat.null_count else np.array(part.column(1).to_pylist(), np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([m.tobytes()], pa.binary())], names=["ids", "m"])
 
     return df.where(F.col(vector).isNotNull() & F.col(id_).isNotNull()).select(id_, vector).mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("m", T.BinaryType())]))
@@ -54,10 +57,22 @@ def nearest_batch(index: DataFrame, id_: str, vector: str, queries: DataFrame, q
     broadcast but by Spark's own choice, and what is shuffled is k rows a query
     and block, not a row a pair."""
     qid, iid = queries.schema[query_id].dataType, index.schema[id_].dataType
-    pairs = _blocks(index, id_, vector, rows).crossJoin(_blocks(queries, query_id, query_vector, rows).select(F.col("ids").alias("qids"), F.col("m").alias("q")))
+    # written, as a product reads one side again for every part of the other
+    pairs = cut(_blocks(index, id_, vector, rows)).crossJoin(cut(_blocks(queries, query_id, query_vector, rows)).select(F.col("ids").alias("qids"), F.col("m").alias("q")))
     return top(_products(pairs.select("ids", "m", "qids", "q"), qid, iid, query_id, id_, k, skip_self), query_id, id_, k)
 
 
+def _kth(score: np.ndarray, k: int) -> np.ndarray:
+    """No more than the k-th largest of each row; of long rows the k-th largest of the
+    maxima of groups, as k groups hold k that are as large."""
+    groups = score.shape[1] // 16
+    if groups >= 2 * k:
+        score = score[:, : groups * 16].reshape(len(score), 16, groups).max(1)
+    if score.shape[1] <= k:
+        return np.full(len(score), -np.inf, np.float32)
+    return np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+
+
 def _products(pairs: DataFrame, qid: T.DataType, iid: T.DataType, query_id: str, id_: str, k: int, skip_self: bool) -> DataFrame:
     """(query, id, score): of each pair of blocks (ids, m, qids, q) the k best of a query."""
     schema = T.StructType([T.StructField(query_id, qid), T.StructField(id_, iid), T.StructField("score", T.DoubleType())])
@@ -75,14 +90,20 @@ def _products(pairs: DataFrame, qid: T.DataType, iid: T.DataType, query_id: str,
                 if x.shape[1] != q.shape[1]:
                     raise EmbeddingMismatch(f"vectors of {x.shape[1]} and {q.shape[1]} places")
                 asked = np.flatnonzero(nq > 0)
-                score = (q[asked] @ x.T) / (nq[asked, None] * np.where(nx > 0, nx, 1.0))
-                score = np.round(score, 6)
+                if not len(asked) or not len(x):
+                    continue
+                x, q = x / np.where(nx > 0, nx, 1.0)[:, None], q[asked] / nq[asked, None]
+                # single precision finds who may be among the k best, double decides
+                near = q.astype(np.float32) @ x.astype(np.float32).T
                 if skip_self:
-                    score[np.array(qids.take(pa.array(asked)).to_pylist(), object)[:, None] == np.array(ids.to_pylist(), object)[None, :]] = -np.inf
-                # ties at the k-th place all go on, so that ids decide them
-                least = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)] if score.size else np.zeros(len(asked))
-                at, who = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(asked[at])), ids.take(pa.array(who)), pa.array(score[at, who])], names=schema.names)
+                    own = pc.index_in(qids.take(pa.array(asked)), value_set=(known := pc.unique(ids)))
+                    if own.null_count < len(own):
+                        mine = pc.index_in(ids, value_set=known).to_numpy(zero_copy_only=False)
+                        near[own.fill_null(-1).to_numpy(zero_copy_only=False)[:, None] == mine[None, :]] = -np.inf
+                least = _kth(near, k) - (1.5e-6 + 4e-7 * (x.shape[1] + 8))
+                at, who = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+                score = np.round(np.einsum("ij,ij->i", q[at], x[who]), 6)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(asked[at])), ids.take(pa.array(who)), pa.array(score)], names=schema.names)
 
     return pairs.mapInArrow(run, schema)
 
