@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.errors import ConfigError
+from quern.functions import stem
 from quern.operators import graph, ledger, lexical, versions
 from quern.operators.sizes import hinted
 
@@ -41,6 +45,23 @@ TABLES = {
 
 #: Columns that a table's files are parted by.
 PARTED = {"posting": ["field", "bucket"], "length": ["field"]}
+#: Texts that a task indexes at least, as each task makes files of its own.
+TASK = 2_000
+#: Files that a task of a parted write keeps open at most, and bytes that each holds back.
+OPEN_FILES, HELD = 64, 8 << 20
+
+
+@contextmanager
+def _open_files(spark: SparkSession) -> Iterator[None]:
+    """A parted write keeps a file open for each part; Spark would sort all rows first,
+    and spill them."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_FILES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class Catalog:
@@ -73,10 +94,43 @@ class Catalog:
         self._write(name, df.select(*fields))
 
     def _write(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").partitionBy(*PARTED.get(name, ())).parquet(f"{self.folder}/{name}")
+        self._put(f"{self.folder}/{name}", df, PARTED.get(name, ()))
+
+    def _put(self, folder: str, df: DataFrame, parts: Sequence[str] = ()) -> None:
+        writer = df.write.mode("append").option("compression", "zstd")
+        if parts:
+            writer = writer.option("parquet.block.size", HELD).partitionBy(*parts)
+        with _open_files(df.sparkSession):
+            writer.parquet(folder)
+
+    def stage(self, folder: str, df: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
+        """Rows written beside the tables, once, and read from there on; see ``adopt``."""
+        self._put(folder, df, parts)
+        schema = T.StructType([*[f for f in df.schema if f.name not in parts], *[df.schema[p] for p in parts]])
+        return self.spark.read.schema(schema).parquet(folder)
+
+    def adopt(self, name: str, folder: str) -> None:
+        """Staged files become a table's: moved, not written again.  Parts and columns that
+        the table has not are left out or not read there."""
+        root = self._fs.makeQualified(self._path(folder))
+        if not self._fs.exists(root):
+            return
+        found, at, made = self._fs.listFiles(root, True), len(root.toString()), set()
+        while found.hasNext():
+            path = found.next().getPath()
+            *inner, file = path.toString()[at:].strip("/").split("/")
+            if file.startswith(("_", ".")):
+                continue
+            to = "/".join([self.folder, name, *[p for p in inner if p.split("=")[0] in PARTED.get(name, ())]])
+            if to not in made:
+                self._fs.mkdirs(self._path(to))
+                made.add(to)
+            if not self._fs.rename(path, self._path(f"{to}/{file}")):
+                raise OSError(f"{path.toString()} cannot be moved into {name}")
 
     def empty(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], TABLES[name])
+        # the limit tells the planner what it is: nothing is shuffled to be joined with it
+        return self.spark.createDataFrame([], TABLES[name]).limit(0)
 
     def read(self, name: str) -> DataFrame:
         """All that was appended."""
@@ -133,15 +187,20 @@ class Catalog:
     def index_texts(self, texts: DataFrame) -> None:
         """Append the postings and lengths of rows (chunk_id, field, text).
 
-        A posting lies in the folder of its field and its term's bucket; the rows of a
-        bucket are spread over a few tasks by chunk, as a common word's are many."""
-        for row in texts.select("field").distinct().collect():
-            own = texts.where(F.col("field") == row.field)
-            index = lexical.indexed(own, "chunk_id", "text").withColumn("field", F.lit(row.field))
-            self._write("length", index.select("chunk_id", "size", "field"))
-            posted = lexical.postings(index, "chunk_id").withColumn("field", F.lit(row.field)).withColumn("bucket", lexical.bucket(F.col("term")))
-            spread = F.pmod(F.xxhash64("chunk_id"), F.lit(2))
-            self._write("posting", posted.select("term", "chunk_id", "tf", "size", "field", "bucket").repartition("bucket", spread))
+        A posting lies in the folder of its field and its term's bucket.  Texts are counted
+        once, and each task writes to every folder itself, so that no posting is shuffled;
+        few texts are few tasks', so that their files are few."""
+        staged = f"{self.folder}/_staged/{uuid.uuid4().hex}"
+        few = texts.coalesce(max(1, -(-texts.count() // TASK)))
+        index = stem.counted(few.select(F.struct("chunk_id", "field").alias("id"), "text"), "id", "text")
+        own = F.struct(F.lit(None).cast("string").alias("terms"), F.lit(None).cast("int").alias("tfs"))
+        rows = index.select("id.chunk_id", "id.field", "size", F.explode(F.concat(F.array(own), F.arrays_zip("terms", "tfs"))).alias("__p"))
+        term = F.col("__p.terms")
+        kind = F.when(term.isNull(), "length").otherwise("posting")
+        bucket = F.when(term.isNull(), -1).otherwise(lexical.bucket(term))
+        self._put(staged, rows.select(term.alias("term"), "chunk_id", F.col("__p.tfs").alias("tf"), "size", kind.alias("kind"), "field", bucket.alias("bucket")), ("kind", "field", "bucket"))
+        for name in ("length", "posting"):
+            self.adopt(name, f"{staged}/kind={name}")
 
     def bm25(self, field: str, queries: DataFrame, query_id: str, k: int, scope: DataFrame | None = None, column: str = "text") -> DataFrame:
         """(query, chunk_id, score, rank) from stored postings: only the buckets of the

@@ -1,7 +1,10 @@
 """From files to searchable chunks: scan, expand, hash, parse, sanitise, version, chunk.
 
 Only contents that differ from a document's current version are parsed.  What is
-parsed is written once and read from there on, so no file is parsed twice."""
+parsed is written once and read from there on, so no file is parsed twice; its files and
+those of the chunks are then moved into their tables.  Contents are shuffled once, to
+find what differs, and not at all in an empty store, unless they lie in fewer
+partitions than there are cores.  Texts are never shuffled."""
 
 from __future__ import annotations
 
@@ -12,12 +15,13 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.catalog import TABLES, Catalog
 from quern.errors import BudgetExceeded, EmbeddingMismatch
 from quern.functions import embed as vectors
 from quern.functions import metadata
-from quern.operators import chunking, dense, fusion, hybrid, versions
+from quern.operators import chunking, dense, fusion, hybrid, sizes, versions
 from quern.operators.graph import cut
 from quern.operators.sanitise import sanitise
 from quern.settings import Settings, stamp
@@ -27,8 +31,10 @@ from quern.sources import files
 COMMIT_ROWS = 1_000_000
 #: Chunks that a run may embed for each document that it may take in.
 CHUNKS_A_DOCUMENT = 200
+#: Documents worth a task of their own, if cores are idle.
+TASK = 1_000
 
-CLEAN = files.PARSED.replace("error string", "quarantine array<struct<start:int,end:int,reason:string,text:string>>, error string")
+QUARANTINE = "quarantine array<struct<start:int,end:int,reason:string,text:string>>"
 
 
 def hashed_id(*parts: Column) -> Column:
@@ -37,6 +43,7 @@ def hashed_id(*parts: Column) -> Column:
 
 def cleaned(parsed: DataFrame) -> DataFrame:
     """Parsed rows sanitised, with headings and pages moved along."""
+    schema = T.StructType([*parsed.schema, *T._parse_datatype_string(QUARANTINE)])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -48,9 +55,9 @@ def cleaned(parsed: DataFrame) -> DataFrame:
                 marks = [(h["start"], h["level"], h["text"]) for h in r["headings"]]
                 c = sanitise(r["text"], marks, [int(o) for o in r["page_offsets"]], list(r["warnings"]))
                 rows.append({**r, "text": c.text, "headings": [{"start": a, "level": n, "text": t} for a, n, t in c.headings], "page_offsets": c.page_offsets, "warnings": c.warnings, "quarantine": [{"start": s.start, "end": s.end, "reason": s.reason, "text": s.text} for s in c.quarantine]})
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ("external_id", "text", "title", "headings", "page_offsets", "published_at", "authors", "quality", "warnings", "parser", "mime", "quarantine", "error")])
+            yield pd.DataFrame(rows, columns=schema.names)
 
-    return parsed.mapInPandas(run, CLEAN)
+    return parsed.mapInPandas(run, schema)
 
 
 def ingest_files(catalog: Catalog, found: DataFrame, workspace: str, settings: Settings = Settings()) -> DataFrame:
@@ -60,52 +67,49 @@ def ingest_files(catalog: Catalog, found: DataFrame, workspace: str, settings: S
     now, run_id = F.lit(started).cast("timestamp"), uuid.uuid4().hex
     staged = f"{catalog.folder}/_staged/{uuid.uuid4().hex}"
     given = found.withColumn("document_id", hashed_id(F.lit(workspace), F.col("external_id"))).withColumn("content_hash", versions.content_hash("content"))
-    current = versions.latest(catalog.read("version").dropDuplicates(["id"]), "document_id", "version_no").select("document_id", "content_hash", "version_no")
-    incoming = given.where("error IS NULL")
-    fresh = versions.unseen(incoming, current)
+    last = catalog.read("version").groupBy(F.col("document_id").alias("__d")).agg(F.max(F.struct("version_no", "content_hash")).alias("__v"))
+    paired = given.where("error IS NULL").join(last, F.col("document_id") == F.col("__d"), "left")
+    # a return to an earlier content is a new version
+    same = F.coalesce(F.col("content_hash") == F.col("__v.content_hash"), F.lit(False))
+    fresh = paired.where(~same)
     n = fresh.limit(settings.budget.max_docs_per_run + 1).count()
     if n > settings.budget.max_docs_per_run:
         raise BudgetExceeded(f"more than {settings.budget.max_docs_per_run} documents in one run")
-    fresh.select("external_id", "uri", "document_id", "content_hash", F.octet_length("content").cast("long").alias("bytes")).write.parquet(f"{staged}/fresh")
-    cleaned(files.parsed(fresh)).write.parquet(f"{staged}/parsed")
-    read = catalog.spark.read.parquet
-    new, parsed = read(f"{staged}/fresh"), read(f"{staged}/parsed")
-    rows = new.join(parsed, "external_id").join(current.select(F.col("document_id").alias("__d"), F.col("version_no").alias("__n")), F.col("document_id") == F.col("__d"), "left")
-    rows = rows.withColumn("version_no", F.coalesce("__n", F.lit(0)) + 1).drop("__d", "__n")
-    rows = rows.withColumn("version_id", hashed_id(F.col("document_id"), F.col("version_no"), F.col("content_hash")))
-    good = rows.where("error IS NULL")
+    fresh = fresh.withColumn("version_no", F.coalesce("__v.version_no", F.lit(0)) + 1).withColumn("bytes", F.octet_length("content").cast("long"))
+    fresh = sizes.dealt(fresh, found.rdd.getNumPartitions(), n, TASK)
+    rows = cleaned(files.parsed(fresh, ("uri", "document_id", "version_no", "content_hash", "bytes")))
     heading = F.get(F.col("headings"), F.lit(0))["text"]
     title = metadata.title(F.col("title"), heading, F.col("external_id"))
     fields = {
         "title": title, "published_at": metadata.published_at(F.try_to_date(F.col("published_at"), "yyyy-MM-dd"), F.col("external_id"), F.col("text")),
         "doc_type": metadata.doc_type(F.col("external_id"), title, F.col("text"), settings.profile.doc_types), "meeting_or_project": metadata.meeting(title, F.col("text")), "uri": F.col("uri"),
     }
-    described = good.select("document_id", "version_id", "version_no", "external_id", "content_hash", "bytes", "mime", "parser", "quality", "text", "warnings", "headings", "page_offsets", "quarantine", "authors", *[c.alias(k) for k, c in fields.items()])
-    # read by every table that is appended to: written once, not worked out for each
-    described.withColumn("misses", metadata.misses({k: F.col(k) for k in fields})).write.parquet(f"{staged}/described")
-    described = read(f"{staged}/described")
-    catalog.append("document", described.select(F.col("document_id").alias("id"), F.lit(workspace).alias("workspace_id"), "external_id", "uri", "title", "doc_type", "meeting_or_project", "published_at", "authors", now.alias("observed_at")))
-    spans = described.select("version_id", F.inline("quarantine"))
+    described = rows.select(hashed_id(F.col("document_id"), F.col("version_no"), F.col("content_hash")).alias("id"), "document_id", "version_no", "external_id", "content_hash", F.sha2("text", 256).alias("text_hash"), "mime", "bytes", "parser", F.col("quality").alias("parse_quality"), now.alias("ingested_at"), "text", "warnings", "headings", "page_offsets", "quarantine", "authors", "error", F.col("error").isNotNull().alias("failed"), *[c.alias(k) for k, c in fields.items()])
+    # the version table's files to be, with all that other tables take from them
+    taken = catalog.stage(f"{staged}/taken", described.withColumn("misses", metadata.misses({k: F.col(k) for k in fields})), ["failed"])
+    good = taken.where("NOT failed")
+    catalog.append("document", good.select(F.col("document_id").alias("id"), F.lit(workspace).alias("workspace_id"), "external_id", "uri", "title", "doc_type", "meeting_or_project", "published_at", "authors", now.alias("observed_at")))
+    spans = good.select(F.col("id").alias("version_id"), F.inline("quarantine"))
     catalog.append("quarantine", spans.select(hashed_id(F.col("version_id"), F.col("start"), F.col("end"), F.col("reason")).alias("id"), "version_id", F.col("start").alias("char_start"), F.col("end").alias("char_end"), "text", "reason"))
     limits = chunking.Limits(settings.chunking.max_tokens, settings.chunking.overlap, settings.chunking.structure_first)
-    made = chunking.chunk_versions(described.select(F.col("version_id").alias("id"), "text", "headings", "page_offsets"), headings="headings", pages="page_offsets", limits=limits)
-    made.withColumn("id", hashed_id(F.col("version_id"), F.col("ordinal"))).withColumn("workspace_id", F.lit(workspace)).write.parquet(f"{staged}/chunks")
-    chunks = read(f"{staged}/chunks")
-    catalog.append("chunk", chunks)
+    made = chunking.chunk_versions(good.select("id", "text", "headings", "page_offsets"), headings="headings", pages="page_offsets", limits=limits)
+    chunks = catalog.stage(f"{staged}/chunks", made.withColumn("id", hashed_id(F.col("version_id"), F.col("ordinal"))).withColumn("workspace_id", F.lit(workspace)))
     fields = {"body": F.col("text"), "heading": F.concat_ws(" ", "heading_path")}
     for field, column in fields.items():
         catalog.index_texts(chunks.select(F.col("id").alias("chunk_id"), F.lit(field).alias("field"), column.alias("text")))
-    # a version is written last: until then a repeated run takes its document as new
-    catalog.append("version", described.select(F.col("version_id").alias("id"), "document_id", "version_no", "content_hash", F.sha2("text", 256).alias("text_hash"), "mime", "bytes", "parser", F.col("quality").alias("parse_quality"), now.alias("ingested_at"), "text", "warnings", "misses"))
-    done = rows.select(F.col("external_id").alias("__x"), "error")
-    out = given.select("external_id", F.col("error").alias("refused")).join(done, F.col("external_id") == F.col("__x"), "left")
-    outcome = F.when(F.coalesce("refused", "error").isNotNull(), "failed").when(F.col("__x").isNotNull(), "ingested").otherwise("unchanged")
-    out.select("external_id", outcome.alias("outcome"), F.coalesce("refused", "error").alias("reason")).write.parquet(f"{staged}/outcomes")
-    outcomes = read(f"{staged}/outcomes")
+    catalog.adopt("chunk", f"{staged}/chunks")
+    refused = given.where("error IS NOT NULL").select("external_id", F.lit("failed").alias("outcome"), F.col("error").alias("reason"))
+    unchanged = paired.where(same).select("external_id", F.lit("unchanged").alias("outcome"), F.lit(None).cast("string").alias("reason"))
+    done = taken.select("external_id", F.when(F.col("failed"), "failed").otherwise("ingested").alias("outcome"), F.col("error").alias("reason"), "id", "document_id", "version_no")
+    rest = sizes.union([refused, unchanged]).select("*", *[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in ("id", "document_id", "version_no")])
+    told = catalog.stage(f"{staged}/outcomes", sizes.union([done, rest]))
+    # a version is there last: until then a repeated run takes its document as new
+    catalog.adopt("version", f"{staged}/taken/failed=false")
     # a document's first version is news, a later one a change of what was known
     kind = F.when(F.col("version_no") == 1, "new").otherwise("outdated")
-    events = described.select(hashed_id(F.lit(run_id), F.col("version_id")).alias("id"), F.lit(run_id).alias("run_id"), kind.alias("kind"), F.col("document_id").alias("subject_id"), F.monotonically_increasing_id().alias("seq"))
+    events = told.where("outcome = 'ingested'").select(hashed_id(F.lit(run_id), F.col("id")).alias("id"), F.lit(run_id).alias("run_id"), kind.alias("kind"), F.col("document_id").alias("subject_id"), F.monotonically_increasing_id().alias("seq"))
     catalog.append("change_event", events)
+    outcomes = told.select("external_id", "outcome", "reason")
     counted = {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
     row = [(run_id, workspace, started, datetime.now(UTC), counted)]
     catalog.append("run", catalog.spark.createDataFrame(row, TABLES["run"]))

@@ -24,6 +24,13 @@ def spread(df: DataFrame, rows: int = ROWS) -> DataFrame:
     return df.repartition(min(max(1, -(-df.count() // rows)), PARTITIONS))
 
 
+def dealt(df: DataFrame, lying: int, n: int, rows: int) -> DataFrame:
+    """``n`` rows that come from ``lying`` partitions, dealt out if these are too few to
+    keep the session's cores busy with ``rows`` each; else as they lie, unshuffled."""
+    wanted = min(-(-n // rows), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(wanted) if lying < wanted else df
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     """Rows of several tables by name.  A union of equally partitioned inputs may
     be zipped by partition, which fails where adaptive execution has given these

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.errors import QuernError
 from quern.sources import registry
@@ -63,23 +64,25 @@ def expanded(files: DataFrame, guards: Guards = Guards()) -> DataFrame:
 PARSED = "external_id string, text string, title string, headings array<struct<start:int,level:int,text:string>>, page_offsets array<int>, published_at string, authors array<string>, quality double, warnings array<string>, parser string, mime string, error string"
 
 
-def parsed(files: DataFrame) -> DataFrame:
+def parsed(files: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row for each file: parsed, or with the reason why not.  A failure never
-    ends the job."""
+    ends the job.  ``carried`` columns go along, so that no join must bring them back."""
+    schema = T.StructType([*T._parse_datatype_string(PARSED), *[files.schema[c] for c in carried]])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for name, content in part.itertuples(index=False):
+            for name, content in zip(part["external_id"], part["content"]):
                 try:
                     p = registry.parse(bytes(content if content is not None else b""), name)
                     marks = [{"start": a, "level": n, "text": t} for a, n, t in p.headings]
                     rows.append((name, p.text, p.title, marks, p.page_offsets, p.published_at, p.authors, p.quality, p.warnings, p.parser, registry.guess_mime(name), None))
                 except Exception as e:  # any file may be broken in any way
                     rows.append((name, None, None, [], [], None, [], None, [], None, registry.guess_mime(name), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["external_id", "text", "title", "headings", "page_offsets", "published_at", "authors", "quality", "warnings", "parser", "mime", "error"])
+            made = pd.DataFrame(rows, columns=schema.names[: len(schema) - len(carried)])
+            yield made.assign(**{c: part[c].to_numpy() for c in carried})
 
-    return files.select("external_id", "content").mapInPandas(run, PARSED)
+    return files.select("external_id", "content", *carried).mapInPandas(run, schema)
 
 
 def readable(uri: str) -> bool:

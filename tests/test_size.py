@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import chunking, dense, graph, lexical, sizes
 from quern.plans import catalogue
@@ -110,6 +111,84 @@ def test_stored_postings_may_repeat(spark, texts, tmp_path):
     assert rows(store.bm25("body", asked, "q", 9)) == once and once
 
 
+def moved(spark):
+    """Bytes that the session has shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def held(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet")) if folder.exists() else 0
+
+
+def test_intake_writes_once_and_shuffles_no_text(spark, tmp_path):
+    """An empty store's intake shuffled 7 times its texts and wrote them 5 times."""
+    from quern import intake
+    from quern.catalog import Catalog
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"{x:08x}" for x in r.integers(0, 1 << 32, 1000)) for _ in range(300)]
+    size = sum(map(len, texts))
+    rows_ = [(f"d{i}.txt", "file:///d", bytearray(t.encode()), None) for i, t in enumerate(texts)] + [("bad.json", "file:///d", bytearray(b"{"), None), ("no.txt", "file:///d", None, "refused")]
+    found = spark.createDataFrame(rows_, "external_id string, uri string, content binary, error string")
+    store, before = Catalog(spark, str(tmp_path / "store")), moved(spark)
+    told = intake.ingest_files(store, found, "w")
+    assert moved(spark) - before < size / 10
+    assert held(tmp_path / "store/_staged") < size / 20 < held(tmp_path / "store/version")
+    assert sorted(map(tuple, told.groupBy("outcome").count().collect())) == [("failed", 2), ("ingested", 300)]
+    assert store.read("version").count() == 300 and store.read("length").where("field = 'body'").count() == store.read("chunk").count()
+    # again: contents are shuffled once, to find what differs
+    before = moved(spark)
+    again = found.withColumn("content", F.when(F.col("external_id") == "d7.txt", F.lit(b"changed")).otherwise(F.col("content")))
+    told = intake.ingest_files(store, again, "w")
+    assert moved(spark) - before < 1.3 * size
+    assert sorted(map(tuple, told.groupBy("outcome").count().collect())) == [("failed", 2), ("ingested", 1), ("unchanged", 299)]
+    assert [(r.version_no, r.text) for r in store.read("version").where("version_no > 1").collect()] == [(2, "changed")]
+
+
+def test_few_partitions_are_dealt_out_and_many_left(spark):
+    cores, df = spark.sparkContext.defaultParallelism, spark.range(0, 9, 1, 1)
+    for lying, n, want in ((1, 9, min(3, cores)), (1, 3, 1), (cores, 10_000, 1), (1, 10_000, cores), (1, 0, 1)):
+        assert sizes.dealt(df, lying, n, 3).rdd.getNumPartitions() == want
+
+
+def test_intake_broken_off_is_repeated(spark, tmp_path, monkeypatch):
+    """Until its version is there a document is new; what was left of it counts once."""
+    from quern import intake
+    from quern.catalog import Catalog
+
+    found = spark.createDataFrame([(f"{i}.txt", "file:///d", bytearray(b"stone %d" % i), None) for i in range(4)], "external_id string, uri string, content binary, error string")
+    store, adopt = Catalog(spark, str(tmp_path)), Catalog.adopt
+
+    def broken(self, name, folder):
+        if name == "version":
+            raise OSError("full")
+        adopt(self, name, folder)
+
+    with monkeypatch.context() as m:
+        m.setattr(Catalog, "adopt", broken)
+        with pytest.raises(OSError):
+            intake.ingest_files(store, found, "w")
+    assert store.read("version").count() == 0 and store.chunks().count() == 0
+    assert {r.outcome for r in intake.ingest_files(store, found, "w").collect()} == {"ingested"}
+    asked = spark.createDataFrame([(1, "stones")], "q long, text string")
+    assert store.chunks().count() == store.read("change_event").count() == store.bm25("body", asked, "q", 9).count() == 4
+
+
+def test_staged_files_are_moved_or_the_move_fails(spark, tmp_path):
+    from quern.catalog import Catalog
+
+    store = Catalog(spark, str(tmp_path / "store"))
+    store.adopt("length", str(tmp_path / "none"))
+    own = spark.range(4).selectExpr("CAST(id AS string) AS chunk_id", "1 AS size", "'body' AS field", "id % 2 AS other")
+    for n in (4, 8):
+        staged = store.stage(str(tmp_path / f"staged{n}"), own, ["other", "field"])
+        assert rows(staged.select("chunk_id", "other")) == [("0", 0), ("1", 1), ("2", 0), ("3", 1)]
+        store.adopt("length", str(tmp_path / f"staged{n}"))
+        assert store.read("length").where("field = 'body'").count() == n and not held(tmp_path / f"staged{n}")
+
+
 def test_files_of_brands_lie_apart(spark, parts):
     """Two brands were one task's."""
     df = catalogue.queries()["read_pptx"](spark, parts)
